@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.session import table
 
-from . import canonical, leaks, pieces
+from . import canonical, components, crosssplit, leaks, nearcopies, pieces
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,34 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_passages(table(spark, sf_dir, "passages"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.found(table(spark, sf_dir, "synthetic"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.report(table(spark, sf_dir, "synthetic"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.lookalike_pairs(table(spark, sf_dir, "passages"), "passage_id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_pairs(table(spark, sf_dir, "passages"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.groups(table(spark, sf_dir, "passages"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.found(table(spark, sf_dir, "synthetic"))
+
+
+def p7_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.assign(table(spark, sf_dir, "synthetic"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +55,7 @@ def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p9_found, p9_cleaned)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p5_found, p5_groups, p7_found, p7_assigned, p9_found, p9_cleaned)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
