@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.session import table
 
-from . import canonical, components, crosssplit, leaks, nearcopies, pieces
+from . import canonical, components, crosssplit, leaks, nearcopies, neighbours, packing, pieces
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.groups(table(spark, sf_dir, "passages"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.found(table(spark, sf_dir, "passages"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.found(table(spark, sf_dir, "synthetic"))
 
@@ -47,6 +51,14 @@ def p7_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.assign(table(spark, sf_dir, "synthetic"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +67,7 @@ def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p5_found, p5_groups, p7_found, p7_assigned, p9_found, p9_cleaned)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_assigned, p8_packed, p8_fill, p9_found, p9_cleaned)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
