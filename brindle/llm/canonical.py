@@ -88,30 +88,31 @@ def rules() -> dict[str, str]:
 
 
 class Transducer:
-    """Longest match over clusters: a letter with all marks that follow it, a run of undrawn characters, one mapped
-    character. What matches nothing is copied. Seen clusters are kept, so that each is worked out once."""
+    """Longest match over clusters: a letter with all marks that follow it, or a run of mapped and undrawn characters.
+    What matches nothing is copied. Seen clusters are kept, so that each is worked out once."""
 
     def __init__(self, mapping: dict[str, str]):
         self.mapping = mapping
         undrawn = "".join(re.escape(s) for s, t in mapping.items() if t == "")
-        drawn = sorted((s for s, t in mapping.items() if t != ""), key=len, reverse=True)
-        chars = "".join(re.escape(s) for s in drawn if len(s) == 1)
-        longer = "|".join(re.escape(s) for s in drawn if len(s) > 1)
+        chars = "".join(re.escape(s) for s in mapping if len(s) == 1)
         marks = "".join(chr(c) for c in range(0x300, 0x20F1) if unicodedata.combining(chr(c)) and chr(c) not in mapping)
         self.has_marks = re.compile(f"[{marks}]").search
         cluster = f"[^{marks}{undrawn}](?:[{undrawn}]*[{marks}])+"
-        simple = f"[{undrawn}]+|{longer}|[{chars}]"
-        self.plain = re.compile(simple).sub
-        self.marked = re.compile(f"{cluster}|{simple}").sub
+        basic = "".join(re.escape(s) for s in mapping if len(s) == 1 and s < "\U00010000")
+        # A class first, and one within the basic plane: the engine then has a table for it and skips to its next match.
+        self.plain = re.compile(f"[{basic}][{basic}]*").sub
+        self.rare = re.compile(f"[{marks}\U00010000-\U0010ffff]").search
+        self.marked = re.compile(f"{cluster}|[{chars}]").sub
         self.seen: dict[str, str] = {}
 
     def _form(self, match: re.Match) -> str:
         s = match.group()
+        if s[-1] == "\r" and match.string.startswith("\n", match.end()):  # CR LF is one line end
+            s = s[:-1]
         t = self.seen.get(s)
         if t is None:
-            t = self.mapping.get(s)
-            if t is None:
-                t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(self.mapping.get(x, x) for x in s)))
+            t = "".join(self.mapping.get(x, x) for x in s.replace("\r\n", "\n"))
+            t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t)) if self.has_marks(s) else t
             if len(self.seen) < 100_000:
                 self.seen[s] = t
         return t
@@ -119,7 +120,7 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-        return (self.marked if self.has_marks(text) else self.plain)(self._form, text)
+        return (self.marked if self.rare(text) else self.plain)(self._form, text)
 
 
 @cache

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.session import table
 
-from . import canonical, components, crosssplit, leaks, nearcopies, neighbours, packing, pieces
+from . import abuse, canonical, components, crosssplit, leaks, nearcopies, neighbours, packing, pieces
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,15 @@ def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_assigned, p8_packed, p8_fill, p9_found, p9_cleaned)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_assigned, p8_packed, p8_fill, p9_found, p9_cleaned, p10_found, p10_rates)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
