@@ -37,22 +37,34 @@ MAX_POSITIVE, MAX_NEGATIVE = 2400, 3600
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 10, 12, 12, 4096
 MIN_DF, EPOCHS, BATCH, RATE = 4, 5, 256, 0.01
-TOKEN = re.compile(r"[\w*'’-]+")  # one class of characters: much faster than one that looks at what follows
-# Digits and signs that stand for letters in hidden spellings.
-LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"})
+#: Fewer windows are gone over more often, so that a small table trains as many steps as a larger one.
+MIN_STEPS = 240
+TOKEN = re.compile(r"[\w*@$!'’-]+")  # one class of characters: much faster than one that looks at what follows
+# Words that point to the window a positive label is about, before any is learnt; digits and signs that stand for letters in hidden spellings.
+SEEDS = frozenset(
+    "idiot moron imbecile asshole dimwit halfwit cretin jackass bastard scum scumbag vermin subhuman fuck fucking bitch whore slut horny "
+    "idiota imbécil mierda puta arschloch fresse ungeziefer connard salope imbécile cunt worthless brainless".split()
+)
+LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"})
 REPEAT = re.compile(r"(.)\1+")
 
 
+SPACED = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(consistent(text).lower())
+    t = consistent(text).lower()
+    if SPACED.search(t):
+        t = SPACED.sub(lambda m: m.group().replace(" ", ""), t)
+    return TOKEN.findall(t)
 
 
 def skeleton(word: str) -> str:
     """The word without the usual ways of hiding it: d-a-m-n, st0p, stoooop."""
-    word = word.strip("-'’_")
+    word = word.strip("-'’_!*$@")
     if "-" in word and all(len(x) == 1 for x in word.split("-")):
         word = word.replace("-", "")
-    if not word.isdigit() and any(c.isdigit() for c in word):
+    if not word.isalpha() and not word.isdigit():
         word = word.translate(LEET)
     return REPEAT.sub(r"\1", word)
 
@@ -242,6 +254,7 @@ class Network:
 
     def fit(self, words: Words, m: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
+        epochs = max(epochs, -(-MIN_STEPS // -(-len(m) // BATCH)))
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         own_all, step = np.array(words.own), 0
@@ -312,8 +325,9 @@ def train(positive: list[str], negative: list[str], seed: int = 5) -> Network:
             doc.append(i)
     m, doc = _matrix(rows), np.array(doc, np.int64)
     value = np.zeros(len(words.own), np.float32)
+    seeds = {skeleton(w) for w in SEEDS}
     for w, i in words.number.items():
-        value[i] = typical.get(skel[w], 0.0)
+        value[i] = max(typical.get(skel[w], 0.0), 4.0 if skel[w] in seeds else 0.0)
     hint = value[m].sum(axis=1)
     label = y[doc]
     best = _best(hint, doc, len(texts))
