@@ -19,20 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters and marks that are drawn alike, each with the one that stands for it.
-CYRILLIC_LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o",
-    "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
-}
-GREEK_LOOKALIKES = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j", "µ": "μ",
-}
-OTHER_LOOKALIKES = {
-    "ɡ": "g", "‐": "-", "‑": "-", "﹣": "-", "‒": "–", "․": ".", "ʼ": "’", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl",
-    "ﬃ": "ffi", "ﬄ": "ffl",
-}
+from brindle.functions.lookalikes import CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, OTHER_LOOKALIKES
+
 LINE_ENDS = {"\r\n": "\n", "\r": "\n", chr(0x85): "\n", chr(0x2028): "\n", chr(0x2029): "\n"}
 #: Not drawn, though not of category Cf: the grapheme joiner, Hangul fillers, variation selectors.
 UNDRAWN = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]
