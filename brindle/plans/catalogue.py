@@ -1,22 +1,4 @@
 """All queries outside the llm subpackage, by name, with the SQL that says the same."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from brindle.operators import units
-from brindle.session import table
-
-
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.found(table(spark, sf_dir, "passages"), table(spark, sf_dir, "units"))
-
-
-def p3_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.infer_units(table(spark, sf_dir, "passages"), table(spark, sf_dir, "units"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_inferred)}
-ORACLE: dict[str, str] = {}
+from brindle.plans import data, logs, measures, retrieval, texts, training  # noqa: F401  (they register)
+from brindle.plans.registry import ORACLE, QUERIES  # noqa: F401
