@@ -99,9 +99,10 @@ def ascii_words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:
-    """Distinct word n-grams; a shorter text is one shingle."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.array_distinct(grams)
+    """Distinct word n-grams; a shorter text is one shingle. The words are bound to a name first, else their
+    expression would be evaluated once for every n-gram."""
+    grams = F.transform(F.array(tokens), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(t, i, n))))
+    return F.array_distinct(grams[0])
 
 
 def slug(text: Column, most: int = 80) -> Column:
@@ -121,7 +122,7 @@ def sentences(text: Column) -> Column:
 def clauses(text: Column) -> Column:
     """The pieces between clause signs and conjunctions."""
     parts = F.split(text, r"(?i)[,;:()]|\b(?:and|or|but|whereas|while|which|although)\b")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def content_tokens(text: Column) -> Column:

@@ -7,11 +7,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(ts: str) -> Column:
+    """Microseconds of a time stamp with or without zone (times are UTC throughout)."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def sessions(events: DataFrame, user: str, ts: str, key: str, minutes: int = 30) -> DataFrame:
     """W13, T-5: a new session begins when the gap is the time to live or more (a session window would join an event
     exactly at the gap)."""
     w = Window.partitionBy(user).orderBy(ts, key)
-    new = F.coalesce((F.unix_micros(F.col(ts)) - F.lag(F.unix_micros(F.col(ts))).over(w) >= minutes * 60_000_000).cast("int"), F.lit(1))
+    new = F.coalesce((micros(ts) - F.lag(micros(ts)).over(w) >= minutes * 60_000_000).cast("int"), F.lit(1))
     e = events.withColumn("new", new)
     return e.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
@@ -25,7 +30,7 @@ def streaks(events: DataFrame, group: list[str], ts: str, key: str, correct: Col
     inner = Window.partitionBy(*group, "misses").orderBy(ts, key).rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("streak", F.least(F.sum("ok").over(inner), F.lit(cap)).cast("int"))
     seconds = F.when(F.col("ok") == 0, 600).when(F.col("streak") == 1, 86_400).when(F.col("streak") == 2, 3 * 86_400).otherwise(7 * 86_400)
-    return e.withColumn("due", F.timestamp_micros(F.unix_micros(F.col(ts)) + seconds.cast("long") * 1_000_000)).drop("ok", "misses")
+    return e.withColumn("due", F.col(ts) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).drop("ok", "misses")
 
 
 def idempotency(requests: DataFrame, key: list[str], order: list[str], fingerprint: str) -> DataFrame:
@@ -66,5 +71,5 @@ def breaker(events: DataFrame, key: str, ts: str, order: str, failed: str, failu
                 until, opened, recent = t + cooldown_s * 1_000_000, opened + 1, []
         return pd.DataFrame({"key": [g.k.iloc[0]], "calls": [len(g)], "opened": [opened], "rejected": [rejected]})
 
-    src = events.select(F.col(key).cast("string").alias("k"), F.unix_micros(ts).alias("t"), F.col(order).cast("long").alias("o"), F.col(failed).cast("boolean").alias("bad")).where("k IS NOT NULL AND t IS NOT NULL")
+    src = events.select(F.col(key).cast("string").alias("k"), micros(ts).alias("t"), F.col(order).cast("long").alias("o"), F.col(failed).cast("boolean").alias("bad")).where("k IS NOT NULL AND t IS NOT NULL")
     return src.groupBy("k").applyInPandas(fold, "key string, calls long, opened long, rejected long")
