@@ -33,7 +33,7 @@ from brindle.session import slots
 
 DIM, K = 64, 5
 LENGTH, RADIUS = 4, 16
-SAMPLE = 20_000
+SAMPLE = 8_192
 BLOCK = 24_000
 CHUNK = 512
 
@@ -47,7 +47,7 @@ def usable(df: DataFrame, key: str = "vector_row", vector: str = "vector", dim:
 
 def pivots_for(n: int) -> int:
     """Number of pivots for n vectors: the files' lengths and their number grow alike."""
-    return int(min(max(2 * n**0.5, 16), 16_384, n))
+    return int(min(max(2 * n**0.5, 16), SAMPLE, n))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -164,7 +164,10 @@ def neighbours(df: DataFrame, k: int = K, key: str = "vector_row", vector: str =
     ranked = rows.select("cls", "id", "vec").withColumn("r", F.expr("dense_rank() OVER (PARTITION BY cls ORDER BY id)")).where(F.col("r") <= k + 1)
     reps = ranked.groupBy("cls").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec"))
     n = rows.agg(F.approx_count_distinct("cls", 0.02)).first()[0]  # for the number of pivots and blocks only
-    drawn = rows.select("cls", "vec").distinct().orderBy(F.xxhash64(F.col("cls"), F.lit(17)), "cls").limit(SAMPLE).collect()
+    # Only rows whose hash is low enough for about twice the sample are ordered, else every task would send a whole sample.
+    h = F.shiftrightunsigned(F.xxhash64(F.col("cls"), F.lit(17)), 1)
+    low = rows.select("cls", "vec", h.alias("h")).where(F.col("h") <= min(int(2 * SAMPLE / max(n, 1) * 2**63), 2**63 - 1))
+    drawn = low.distinct().orderBy("h", "cls").limit(SAMPLE).collect()
     if not drawn:
         return rows.select("id", F.array().cast("array<struct<cosine:double,id:long>>").alias("others")).limit(0)
     sample = unit(np.array([r.vec for r in drawn], np.float64))
