@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import groupby
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from brindle.functions.text import ABBREVIATIONS
+from brindle.session import spread
+from brindle.sources.markdown import parse
 
 TARGET, MOST, CARRY = 144, 160, 24
 END = re.compile(r"[.!?][\"')\]]*\s+")
@@ -89,18 +94,30 @@ class _Packer:
         return self.done
 
 
-def chunk(blocks: DataFrame) -> DataFrame:
-    """One row a chunk, in order; quarantine says why a unit was set aside. Packing runs along a document, so a
-    document's blocks are one group (a document is one source file, never the collection)."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        rows = []
-        for section, part in groupby(g.itertuples(), key=lambda b: tuple(b.section_path)):
-            p = _Packer(list(part))
-            for kind, units, why in p.run():
-                spans = [{"block": p.blocks[n].block_id, "start": s, "end": e} for n, s, e, _ in units]
-                rows.append((g.doc.iloc[0], len(rows) + 1, kind, " > ".join(section), p.text(units), spans, why))
-        return pd.DataFrame(rows, columns=["doc", "chunk", "kind", "heading", "text", "spans", "quarantine"])
-
-    return blocks.groupBy("doc").applyInPandas(run, SCHEMA)
+def pack(blocks: list) -> list[tuple]:
+    """(kind, heading, text, spans, quarantine) of each chunk of one document's blocks, in order."""
+    rows = []
+    for section, part in groupby(blocks, key=lambda b: tuple(b.section_path)):
+        p = _Packer(list(part))
+        for kind, units, why in p.run():
+            spans = [{"block": p.blocks[n].block_id, "start": s, "end": e} for n, s, e, _ in units]
+            rows.append((kind, " > ".join(section), p.text(units), spans, why))
+    return rows
+
+
+def chunk(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row a chunk of each Markdown document, in order; quarantine says why a unit was set aside. A document is
+    parsed and packed where it is read, so nothing is shuffled. A null text gives no chunk."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("block", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.string())
+    names = ["doc", "chunk", "kind", "heading", "text", "spans", "quarantine"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                blocks = [SimpleNamespace(block_id=i, kind=k, text=x, section_path=s) for i, k, x, s in parse(t)]
+                rows += [(d, n + 1, *r) for n, r in enumerate(pack(blocks))]
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return spread(docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text))).mapInArrow(run, SCHEMA)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.hashing import bucket
 from brindle.functions.text import shingles, split_key
-from brindle.session import cut
+from brindle.session import cut, spread, written
 
 
 def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,9 +19,9 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 def near_links(df: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(key_a, key_b, jaccard) between representatives of equal texts, exact, by prefix filtering: of each set only
     the rarest (1 - threshold) share of the shingles, and one more, can decide, and only those are joined."""
-    base = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), split_key(F.col(text)).alias("t"))
+    base = spread(df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text))).select("k", split_key(F.col(text)).alias("t"))
     reps = base.groupBy("t").agg(F.min("k").alias("k")).select("k", shingles(F.split("t", " "), n).alias("s"))
-    reps = reps.select("k", F.transform("s", lambda x: F.xxhash64(x)).alias("s"))
+    reps = written(reps.select("k", F.transform("s", lambda x: F.xxhash64(x)).alias("s")))  # read four times
     each = reps.select("k", F.size("s").alias("n"), F.explode("s").alias("x"))
     freq = each.groupBy("x").agg(F.count("*").alias("f"))
     w = Window.partitionBy("k").orderBy("f", "x")
@@ -38,7 +38,7 @@ def near_links(df: DataFrame, key: str, text: str, threshold: float = 0.8, n: in
 def contamination(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, n: int = 5) -> DataFrame:
     """(item, docs, shared): for each item in how many texts its shingles stand and how many of its shingles do."""
     i = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.explode(shingles(F.split(split_key(F.col(item_text)), " "), n)).alias("s"))
-    d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.explode(shingles(F.split(split_key(F.col(text)), " "), n)).alias("s"))
+    d = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text))).select("doc", F.explode(shingles(F.split(split_key(F.col(text)), " "), n)).alias("s"))
     d = d.join(i.select("s").distinct(), "s", "left_semi")
     return d.join(i, "s").groupBy("item").agg(F.countDistinct("doc").alias("docs"), F.countDistinct("s").alias("shared")).withColumnRenamed("item", item)
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.lookalikes import readable
+from brindle.session import spread
 
 # How many of its dimension's common unit a unit is.
 PER_COMMON = {
@@ -202,7 +203,7 @@ def quantities(passages: DataFrame, units: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["passage_id", "source_id", "kind", "unit", "common_unit", "where", "value", "value_milli", "whole"])
 
     src = passages.select(F.col("passage_id").cast("string"), F.col("source_id").cast("string"), F.col("text")).where("passage_id IS NOT NULL AND text IS NOT NULL")
-    return src.mapInArrow(run, "passage_id string, source_id string, kind string, unit string, common_unit string, where string, value double, value_milli long, whole boolean")
+    return spread(src).mapInArrow(run, "passage_id string, source_id string, kind string, unit string, common_unit string, where string, value double, value_milli long, whole boolean")
 
 
 def found(passages: DataFrame, units: DataFrame) -> DataFrame:

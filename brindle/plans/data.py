@@ -224,7 +224,7 @@ def md_blocks(spark, sf):
 @query()
 def chunks(spark, sf):
     """The blocks of documents in chunks."""
-    return chunker.chunk(markdown.blocks(table(spark, sf, "documents"), "doc_id", "text"))
+    return chunker.chunk(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("SELECT passage_id, CASE WHEN coalesce(trim(heading), '') <> '' THEN md5(heading || chr(10) || text) ELSE md5(text) END AS rerank_digest FROM passages")

@@ -71,10 +71,8 @@ def _queries(spark, sf) -> DataFrame:
 def hybrid(spark, sf, k: int = 5) -> DataFrame:
     """BM25 and term overlap, eligible documents only, 30 of each, fused, the best k."""
     docs, q, ok = table(spark, sf, "documents"), _queries(spark, sf), _eligible(spark, sf)
-    lex = ranking.top_k(lexical.bm25(docs, q, eligible=ok), 30, "score", "doc_id").select("query_id", "doc_id", "score")
-    t = docs.join(ok, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(words("text"))).alias("term"))
-    o = t.join(q.select("query_id", F.explode("terms").alias("term")), "term").groupBy("query_id", "doc_id").agg((F.count("*") - 2).cast("double").alias("score"))
-    over = ranking.top_k(o, 30, "score", "doc_id").select("query_id", "doc_id", "score")
+    lex = lexical.bm25_top_k(docs, q, 30, eligible=ok).select("query_id", "doc_id", "score")
+    over = lexical.bm25_top_k(docs, q, 30, eligible=ok, overlap=True).select("query_id", "doc_id", "score")
     return ranking.rrf([lex, over], "doc_id", k)
 
 
@@ -169,7 +167,7 @@ def select_greedy(spark, sf):
     spans = F.from_json("spans_json", "array<array<string>>")
     info = p.select("passage_id", F.concat_ws("@", "source_id", "source_version").alias("source"), F.coalesce("section_path_json", F.lit("")).alias("section"), F.sha2("text", 256).alias("text_sha"), spans.alias("raw"))
     info = info.withColumn("spans", F.expr("transform(coalesce(raw, array()), x -> named_struct('block', x[0], 'start', coalesce(try_cast(x[1] AS int), 0), 'end', coalesce(try_cast(x[2] AS int), 0)))")).drop("raw")
-    s = ranking.top_k(lexical.bm25(p, q, key="passage_id"), 30, "score", "passage_id")
+    s = lexical.bm25_top_k(p, q, 30, key="passage_id")
     c = s.join(info, "passage_id").select("query_id", "passage_id", "source", "section", "text_sha", "spans", F.col("score").alias("logit"), (1 / (60 + F.col("rank"))).alias("rrf"))
     return ranking.select_evidence(c, threshold=2.0)
 

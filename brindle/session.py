@@ -56,6 +56,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes in fewer: a small table in one file would go through
+    Python in one task. Tables of many files, as on a cluster, are left as they are and not shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks worth having in a stage of Python work: several a core, never fewer than the session's own setting."""
     return max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))

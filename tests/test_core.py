@@ -138,8 +138,9 @@ def test_markdown_and_chunks(spark):
     b = list(markdown.parse(raw))
     assert [(x[0], x[1], x[3]) for x in b] == [("a-b1", "paragraph", ["A"]), ("a-b2", "list", ["A"]), ("a-b-x-b1", "table", ["A", "B {x}"]), ("own", "caption", ["A", "B {x}"]), ("c-b1", "paragraph", ["C"])]
     long = " ".join(f"Sentence number {i} tells of some tissue." for i in range(60))
-    df = markdown.blocks(spark.createDataFrame([("d", "# H\n" + long), ("n", None)], "k string, t string"), "k", "t")
-    c = chunker.chunk(df).orderBy("chunk").collect()
+    df = spark.createDataFrame([("d", "# H\n" + long), ("n", None)], "k string, t string")
+    assert markdown.blocks(df, "k", "t").count() == 1
+    c = chunker.chunk(df, "k", "t").orderBy("chunk").collect()
     assert len(c) > 3 and all(chunker.tokens(x.text) <= chunker.MOST for x in c)
     assert all(a.spans[-1].start >= z.spans[0].start for a, z in zip(c, c[1:]))
     with pytest.raises(ValueError):
@@ -226,3 +227,17 @@ def test_empty_tables(spark):
     assert corpus.near_links(d, "doc_id", "text").count() == 0
     assert markdown.blocks(d, "doc_id", "text").count() == 0
     assert corpus.components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_bm25_blocks_equal_the_join(spark, sf):
+    from brindle.functions.text import match_terms
+    from brindle.session import table
+
+    docs = table(spark, sf, "documents")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), match_terms(F.col("text")).alias("terms")).where("query_id % 20 = 0")
+    ok = docs.where("doc_id % 3 <> 0").select("doc_id")
+    a = ranking.top_k(lexical.bm25(docs, q, eligible=ok), 7, "score", "doc_id")
+    b = lexical.bm25_top_k(docs, q, 7, eligible=ok)
+    key = lambda r: (r.query_id, r.rank, r.doc_id, r.score)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+    assert lexical.bm25_top_k(docs.limit(0), q, 7).count() == 0
