@@ -195,3 +195,74 @@ def control_parse(spark, sf):
     q = F.lower(F.trim("question"))
     kind = F.when(q.rlike(r"^[a-d][.)]?$"), "option").when(q.isin("skip", "next"), "skip").when(q.isin("stop", "quit", "exit"), "stop").otherwise("text")
     return table(spark, sf, "synthetic").select("case_id", kind.alias("kind"))
+
+
+@query()
+def fact_check(spark, sf):
+    """Each sentence of a question's case against the passages given with it."""
+    from brindle.operators import facts, units
+
+    s = table(spark, sf, "synthetic").select("case_id", F.col("question"), F.explode("passages").alias("p")).distinct()
+    pairs = s.select("case_id", F.element_at("p", 1).alias("passage_id"), F.col("question").alias("hypothesis"), F.element_at("p", 2).alias("premise"))
+    return facts.check(pairs, "hypothesis", "premise", units._aliases(table(spark, sf, "units"))).select("case_id", "passage_id", "status", "reasons")
+
+
+@query()
+def quantities(spark, sf):
+    """Every number of a passage with what is known of its unit."""
+    from brindle.operators import units
+
+    return units.quantities(table(spark, sf, "passages"), table(spark, sf, "units"))
+
+
+@query()
+def quantity_bind(spark, sf):
+    """J12"""
+    from brindle.operators import facts, units
+
+    return facts.bind_quantities(units.quantities(table(spark, sf, "passages"), table(spark, sf, "units")))
+
+
+@query("""
+    SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 'answer' WHEN embedding[2] >= embedding[3] THEN 'quiz' ELSE 'explain' END AS mode FROM embeddings""")
+def argmax_mode(spark, sf):
+    """Ties go to the first."""
+    from brindle.operators import facts
+
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", facts.argmax({"answer": e[0], "quiz": e[1], "explain": e[2]}).alias("mode"))
+
+
+@query("""
+    SELECT request_id, coalesce(CASE WHEN state = 'failed' THEN 'retry' END, CASE WHEN content_type IS NOT NULL THEN content_type END, 'default') AS mode FROM requests""")
+def mode_resolution(spark, sf):
+    """The first source that speaks decides."""
+    mode = F.coalesce(F.when(F.col("state") == "failed", "retry"), F.col("content_type"), F.lit("default"))
+    return table(spark, sf, "requests").select("request_id", mode.alias("mode"))
+
+
+@query("SELECT item_id FROM benchmark WHERE topic_id IS NULL OR topic_id NOT IN (SELECT topic_id FROM benchmark WHERE split = 'test' AND topic_id IS NOT NULL)")
+def topic_block(spark, sf):
+    """F09"""
+    b = table(spark, sf, "benchmark")
+    return b.join(b.where("split = 'test' AND topic_id IS NOT NULL").select("topic_id").distinct(), "topic_id", "left_anti").select("item_id")
+
+
+@query("""
+    SELECT case_id, array_to_string(list_filter([CASE WHEN question IS NULL OR trim(question) = '' THEN 'empty' END, CASE WHEN lower(trim(coalesce(partition, ''))) NOT IN ('training', 'development', 'final') THEN 'partition' END,
+        CASE WHEN group_id IS NULL THEN 'group' END, CASE WHEN expected_status IS NULL OR len(expected_status) = 0 THEN 'status' END], lambda x: x IS NOT NULL), ',') AS problems FROM synthetic""")
+def record_problems(spark, sf):
+    """the problems of each labelled record."""
+    from brindle.operators import relations
+
+    part = F.lower(F.trim(F.coalesce("partition", F.lit(""))))
+    r = relations.reasons((F.col("question").isNull() | (F.trim("question") == ""), "empty"), (~part.isin("training", "development", "final"), "partition"), (F.col("group_id").isNull(), "group"), (F.col("expected_status").isNull() | (F.size("expected_status") == 0), "status"))
+    return table(spark, sf, "synthetic").select("case_id", F.array_join(r, ",").alias("problems"))
+
+
+@query("""
+    SELECT l_orderkey AS draft, count(*) AS claims, count(*) FILTER (l_quantity > 25) AS supported, count(*) FILTER (l_discount >= 0.09) AS contradicted, bool_or(l_quantity BETWEEN 24 AND 26) AS near_miss FROM lineitem GROUP BY l_orderkey""")
+def claim_counts(spark, sf):
+    """A20"""
+    q = F.col("l_quantity")
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("draft")).agg(F.count("*").alias("claims"), F.count_if(q > 25).alias("supported"), F.count_if(F.col("l_discount") >= 0.09).alias("contradicted"), F.bool_or(q.between(24, 26)).alias("near_miss"))
