@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from brindle.functions.lookalikes import CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, OTHER_LOOKALIKES
+from brindle.session import spread
 
 LINE_ENDS = {"\r\n": "\n", "\r": "\n", chr(0x85): "\n", chr(0x2028): "\n", chr(0x2029): "\n"}
 #: Not drawn, though not of category Cf: the grapheme joiner, Hangul fillers, variation selectors.
@@ -157,7 +158,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (f, s, k)], names=["form", "spelling", "k"])
 
     src = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    rows = src.mapInArrow(digests, out).distinct()
+    rows = spread(src).mapInArrow(digests, out).distinct()
     mixed = rows.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo < hi").select("form")
     rows = rows.join(mixed, "form", "left_semi")
     a, b = rows.select("form", F.col("spelling").alias("sa"), F.col("k").alias("ka")), rows.select("form", F.col("spelling").alias("sb"), F.col("k").alias("kb"))

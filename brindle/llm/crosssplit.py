@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import written
+from brindle.session import spread, written
 
 from .words import grid, plain, runs, text_hashes
 
@@ -81,7 +81,7 @@ def records(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     src = df.select(F.col("case_id").cast("string").alias("id"), partition_of(F.col("partition")).alias("part"), F.col("question").alias("q"))
     src = src.where("id IS NOT NULL AND part IS NOT NULL AND q IS NOT NULL").distinct()
     schema = "id string, part string, cls long, chunks array<long>, lengths array<int>, runs array<long>, prefix int"
-    return written(src.mapInArrow(_features(threshold), schema))
+    return written(spread(src).mapInArrow(_features(threshold), schema))
 
 
 def class_overlaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

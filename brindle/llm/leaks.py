@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import spread
+
 from .words import grid, mix, plain
 
 RUN = 10
@@ -81,7 +83,7 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[t
 
 
 def _clean(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    return spread(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))).where("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", n: int = RUN, max_grams: int = MAX_GRAMS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import slots, written
+from brindle.session import slots, spread, written
 
 from .words import grid, mix, plain, runs, text_hashes
 
@@ -200,7 +200,7 @@ def _compare(radius: int):
 def classes(df: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
     """Written table (id, cls, sig, keys, runs), one row a key."""
     src = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    return written(src.mapInArrow(signatures, "id string, cls long, sig binary, keys binary, runs binary"))
+    return written(spread(src).mapInArrow(signatures, "id string, cls long, sig binary, keys binary, runs binary"))
 
 
 def class_pairs(rows: DataFrame, threshold: float, radius: int = RADIUS, group: int = GROUP) -> DataFrame:

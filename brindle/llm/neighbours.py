@@ -34,7 +34,7 @@ from brindle.session import slots
 DIM, K = 64, 5
 LENGTH, RADIUS = 4, 16
 SAMPLE = 8_192
-BLOCK = 24_000
+BLOCK = 12_000
 CHUNK = 512
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import written
+from brindle.session import spread, written
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -188,7 +188,7 @@ def measured(df: DataFrame, capacity: int, tokenizer: str = TOKENIZER, key: str
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "pieces", "token_start", "token_end", "length", "file", "nth"])
 
     names = "doc_id long, piece long, pieces long, token_start long, token_end long, length long, file long, nth long"
-    return written(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, names))
+    return written(spread(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))).mapInArrow(run, names))
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
