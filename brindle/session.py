@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,25 @@ def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int = 8
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the session's Python workers this package, once; they need not have it installed or in their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="brindle-package-")  # on the driver, which serves the file
+    home = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/brindle.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(f"{folder}/brindle.zip")
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
