@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import spread
+
 from .canonical import consistent
 
 MAX_POSITIVE, MAX_NEGATIVE = 2400, 3600
@@ -50,11 +52,12 @@ REPEAT = re.compile(r"(.)\1+")
 
 
 SPACED = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
+SPACED_HINT = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_](?!\w)")  # begins with a plain character, which is found fast
 
 
 def tokens(text: str) -> list[str]:
     t = consistent(text).lower()
-    if SPACED.search(t):
+    if SPACED_HINT.search(t):
         t = SPACED.sub(lambda m: m.group().replace(" ", ""), t)
     return TOKEN.findall(t)
 
@@ -77,7 +80,7 @@ def trigrams(word: str) -> list[int]:
 class Words:
     """Words seen by this process, numbered; 0 is no word. The inputs of the network are worked out once for each."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
@@ -219,7 +222,7 @@ class Network:
         g["att"] = np.einsum("kn,knh->h", de, h_all)
         dh_all = a[:, :, None] * dpool[None] + de[:, :, None] * self.p["att"]
         dt = {k: np.zeros_like(v) for k, v in t.items()}
-        ids, order = np.unique(m), None
+        ids = np.unique(m)
         order = np.argsort(m.T.ravel(), kind="stable")
         first = np.searchsorted(m.T.ravel()[order], ids)
         steps: dict[str, np.ndarray] = {k: np.zeros((m.shape[1], len(m), HIDDEN), np.float32) for k in t}
@@ -247,9 +250,11 @@ class Network:
             g[f"W{gate}{side}"] = x.T @ dt[key]
             g[f"c{gate}{side}"] = dt[key].sum(axis=0)
             dx += dt[key] @ self.p[f"W{gate}{side}"].T
-        np.add.at(g["word"], own, dx[:, :WORD_DIM])
         n = np.bincount(of, minlength=len(own))
-        np.add.at(g["char"], flat, (dx[:, WORD_DIM:] / np.maximum(n, 1)[:, None])[of])
+        part = (dx[:, WORD_DIM:] / np.maximum(n, 1)[:, None])[of]
+        for out, at, by in ((g["word"], own, dx[:, :WORD_DIM]), (g["char"], flat, part)):
+            for k in range(by.shape[1]):  # faster than add.at by an order
+                out[:, k] = np.bincount(at, weights=by[:, k], minlength=len(out))
         return loss, g
 
     def fit(self, words: Words, m: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int = 3) -> None:
@@ -410,7 +415,7 @@ def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
                 out = [b.column(0), *b.columns[2:], pa.array(s, pa.float64(), mask=null), pa.array(s > net.threshold, pa.bool_(), mask=null)]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", *cols, "score", "flagged"])
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)
 
 
 def found(docs: DataFrame, labels: DataFrame) -> DataFrame:
