@@ -66,7 +66,7 @@ NOW = "2026-01-01 00:00:00"
 
 
 @query(f"""
-    SELECT source_id, source_version, coalesce(effective_from <= TIMESTAMP '{NOW}', TRUE) AND coalesce(TIMESTAMP '{NOW}' < effective_to, TRUE) AND coalesce(TIMESTAMP '{NOW}' < review_due_at, TRUE) AS active
+    SELECT source_id, source_version, coalesce(effective_from <= TIMESTAMPTZ '{NOW}+00', TRUE) AND coalesce(TIMESTAMPTZ '{NOW}+00' < effective_to, TRUE) AND coalesce(TIMESTAMPTZ '{NOW}+00' < review_due_at, TRUE) AS active
     FROM source_register""")
 def eligible_sources(spark, sf):
     now = F.lit(NOW).cast("timestamp")
@@ -91,7 +91,7 @@ def eligible_passages(spark, sf):
 
 
 @query("""
-    SELECT p.source_id, coalesce(bool_or(s.review_due_at > TIMESTAMP '2026-01-01'), FALSE) AS live FROM (SELECT DISTINCT source_id FROM passages) p LEFT JOIN source_register s USING (source_id) GROUP BY p.source_id""")
+    SELECT p.source_id, coalesce(bool_or(s.review_due_at > TIMESTAMPTZ '2026-01-01 00:00:00+00'), FALSE) AS live FROM (SELECT DISTINCT source_id FROM passages) p LEFT JOIN source_register s USING (source_id) GROUP BY p.source_id""")
 def live_registry(spark, sf):
     """no row in the registry, not live."""
     ids = table(spark, sf, "passages").select("source_id").distinct().where("source_id IS NOT NULL")
@@ -130,15 +130,15 @@ def exact_dup(spark, sf):
 
 
 @query("""
-    WITH t AS (SELECT min(doc_id) AS k, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS t FROM documents GROUP BY 2),
+    WITH t AS (SELECT min(passage_id) AS k, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS t FROM passages GROUP BY 2),
     s AS (SELECT k, list_distinct(list_transform(range(greatest(len(t) - 4, 1)), lambda i: hash(array_to_string(t[i + 1:i + 5], ' ')))) AS s FROM t),
     e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM s), f AS (SELECT x, count(*) AS f FROM e GROUP BY x HAVING count(*) > 1),
     h AS (SELECT k, n, x, row_number() OVER (PARTITION BY k ORDER BY f, x) AS r FROM e JOIN f USING (x)),
     c AS (SELECT DISTINCT a.k AS ka, b.k AS kb FROM h a JOIN h b USING (x) WHERE a.k < b.k AND a.r <= a.n - ceil(a.n * 0.8 - 1e-9) + 1 AND b.r <= b.n - ceil(b.n * 0.8 - 1e-9) + 1),
     m AS (SELECT ka, kb, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS na, len(b.s) AS nb FROM c JOIN s a ON a.k = ka JOIN s b ON b.k = kb)
-    SELECT ka AS doc_id_a, kb AS doc_id_b, round(c / (na + nb - c), 6) AS jaccard FROM m WHERE c / (na + nb - c) >= 0.8""")
+    SELECT ka AS passage_id_a, kb AS passage_id_b, round(c / (na + nb - c), 6) AS jaccard FROM m WHERE c / (na + nb - c) >= 0.8""")
 def near_dup(spark, sf):
-    return corpus.near_links(table(spark, sf, "documents"), "doc_id", "text").withColumn("jaccard", F.round("jaccard", 6))
+    return corpus.near_links(table(spark, sf, "passages"), "passage_id", "text").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("""

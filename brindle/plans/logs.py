@@ -108,14 +108,14 @@ def audit_project(spark, sf):
 
 
 @query("""
-    SELECT owner_code, course_id, max(created_at) AS last, arg_max(state, (created_at, request_id)) AS state FROM requests WHERE created_at IS NOT NULL AND owner_code IS NOT NULL AND course_id IS NOT NULL AND request_id IS NOT NULL AND state IS NOT NULL GROUP BY ALL""")
+    SELECT owner_code, course_id, epoch_us(max(created_at)) AS last_us, arg_max(state, (created_at, request_id)) AS state FROM requests WHERE created_at IS NOT NULL AND owner_code IS NOT NULL AND course_id IS NOT NULL AND request_id IS NOT NULL AND state IS NOT NULL GROUP BY ALL""")
 def upsert_state(spark, sf):
     """The last state of each owner and course."""
     r = table(spark, sf, "requests").where("created_at IS NOT NULL AND owner_code IS NOT NULL AND course_id IS NOT NULL AND request_id IS NOT NULL AND state IS NOT NULL")
-    return relations.latest(r, ["owner_code", "course_id"], [F.desc("created_at"), F.desc("request_id"), F.desc("state")]).select("owner_code", "course_id", F.col("created_at").alias("last"), "state")
+    return relations.latest(r, ["owner_code", "course_id"], [F.desc("created_at"), F.desc("request_id"), F.desc("state")]).select("owner_code", "course_id", F.unix_micros("created_at").alias("last_us"), "state")
 
 
-@query("SELECT count(*) AS kept, (SELECT count(*) FROM requests) - count(*) AS removed FROM requests WHERE created_at >= TIMESTAMP '2025-01-01' OR created_at IS NULL")
+@query("SELECT count(*) AS kept, (SELECT count(*) FROM requests) - count(*) AS removed FROM requests WHERE created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' OR created_at IS NULL")
 def retention(spark, sf):
     """Rows that a purge keeps and removes."""
     r, keep = table(spark, sf, "requests"), F.coalesce(F.col("created_at") >= F.lit("2025-01-01").cast("timestamp"), F.lit(True))
