@@ -78,6 +78,14 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_assigned, p8_packed, p8_fill, p9_found, p9_cleaned, p10_found, p10_rates)}
 
 ORACLE: dict[str, str] = {
+    "p7_found": """
+        WITH RECURSIVE c AS (SELECT DISTINCT case_id, lower(trim(partition)) AS part, lower(trim(group_id)) AS g, paired_with AS m FROM synthetic WHERE case_id IS NOT NULL),
+        b AS (SELECT 'c:' || case_id AS u, 'g:' || g AS v FROM c WHERE g IS NOT NULL UNION SELECT 'c:' || case_id, 'c:' || m FROM c WHERE m IS NOT NULL),
+        e AS (SELECT u, v FROM b UNION SELECT v, u FROM b),
+        r(node, reach) AS (SELECT DISTINCT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u),
+        k AS (SELECT node, min(reach) AS root FROM r GROUP BY node),
+        f AS (SELECT coalesce(root, 'c:' || case_id) AS root, part, case_id FROM c LEFT JOIN k ON node = 'c:' || case_id)
+        SELECT DISTINCT case_id FROM f WHERE root IN (SELECT root FROM f WHERE part IN ('training', 'development', 'final') GROUP BY root HAVING count(DISTINCT part) > 1)""",
     "p1_found": """
         SELECT DISTINCT passage_id,
                CASE WHEN list_max(list_transform(string_split(text, chr(10) || chr(10)), lambda x: length(x))) <= 1200 THEN 'block' ELSE 'inside' END AS cut

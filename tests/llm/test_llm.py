@@ -417,3 +417,12 @@ def test_queries_registered(spark, sf):
     assert {f"p{i}_found" for i in (1, 2, 4, 5, 6, 7, 9, 10)} <= names and "p8_packed" in names
     for n in ("p1_found", "p2_found", "p4_found", "p5_found", "p7_found", "p9_found"):
         queries.QUERIES[n](spark, sf).collect()
+
+
+def test_hot_nodes_are_spread(spark, monkeypatch):
+    rows = [(f"c{i:03}", "training" if i % 7 else "final", "q", "g" if i < 150 else f"g{i}", f"c{i - 150:03}" if i > 280 else None, 1) for i in range(300)]
+    d = cases(spark, rows)
+    plain = {x.case_id for x in components.found(d).collect()}, {(x.case_id, x.component) for x in components.assign(d).collect()}
+    monkeypatch.setattr(components, "HOT", 20)
+    assert ({x.case_id for x in components.found(d).collect()}, {(x.case_id, x.component) for x in components.assign(d).collect()}) == plain
+    assert len(plain[0]) == 150 + 19
