@@ -20,7 +20,7 @@ LEAST_IDF = 1e-6
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, length, term, tf): one row a document and term; term is null for a document without words, so that
     corpus statistics come from the same rows."""
-    d = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("length", F.size("w"))
+    d = spread(docs.select(key, text)).select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("length", F.size("w"))
     each = d.select(key, "length", F.explode_outer("w").alias("term"))
     return each.groupBy(key, "length", "term").agg(F.count("term").alias("tf"))
 
@@ -37,6 +37,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     documents are read twice, once for the means and once for terms, and only the queries' terms are counted: the term
     list is joined to the documents' words before anything is shuffled. Scores are rounded to nine places, so that equal
     ones tie in whatever order they were summed."""
+    docs = spread(docs.select(key, text))
     stats = corpus_stats(docs, text)
     q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     d = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
