@@ -38,17 +38,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     list is joined to the documents' words before anything is shuffled. Scores are rounded to nine places, so that equal
     ones tie in whatever order they were summed."""
     docs = spread(docs.select(key, text))
-    stats = corpus_stats(docs, text)
+    n_docs, avgdl = corpus_stats(docs, text).first()
     q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     d = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
     tf = d.join(q.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     if eligible is not None:
         tf = tf.join(eligible.select(key).distinct(), key, "left_semi")
-    s = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = tf.join(df, "term")
+    idf = F.ln((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avgdl or 1.0))))
     return s.select(key, "term", part.alias("part")).join(q, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 9).alias("score"))
 
 

@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.vector import dot
-
 RRF_K = 60
 
 
@@ -21,14 +19,10 @@ def top_k(df: DataFrame, k: int, by: str, key: str, group: str = "query_id", ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score) of every vector with every query of a small, stated set; queries: (query_id, q)."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", key, dot(F.col("q"), F.col(vector)).alias("score"))
-
-
 def dense_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The same for many queries at once: blocks of vectors against the whole query matrix, k best of each block kept,
-    then merged; what is shuffled is k rows a query and batch."""
+    """The k nearest vectors of each query of a stated set: blocks of vectors against the whole query matrix, k
+    best of each block kept, then merged; what is shuffled is k rows a query and block. Scores are rounded to nine
+    places, so that equal ones tie, and ties go to the smaller key."""
     ids = np.array([q for q, _ in queries], np.int64)
     matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
     held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -37,7 +31,7 @@ def dense_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
         qid, q = held.value
         for b in batches:
             keys = b.column(0).to_numpy()
-            s = q @ b.column(1).flatten().to_numpy().reshape(len(keys), -1).astype(np.float64).T
+            s = np.round(q @ b.column(1).flatten().to_numpy().reshape(len(keys), -1).astype(np.float64).T, 9)
             rows, cols = [], []
             for i in range(len(q)):
                 best = np.lexsort((keys, -s[i]))[:k]
@@ -114,3 +108,10 @@ def conflict_closure(selected: DataFrame, records: DataFrame, rounds: int = 5) -
         touched = now.join(records, "passage_id").select("query_id", "record_id").distinct()
         now = now.unionByName(touched.join(records, "record_id").select("query_id", "passage_id")).distinct()
     return now
+
+
+def reuse_vectors(queries: DataFrame, stored: DataFrame, identity: list[str], text: str, vector: str) -> DataFrame:
+    """Queries with the stored vector where every identity field and the text's digest are equal, else null (to be
+    encoded anew). stored: identity, text_sha256, vector; a text stored twice keeps one of its equal vectors."""
+    s = stored.select(*identity, F.col("text_sha256").alias("_sha"), F.col(vector)).dropDuplicates([*identity, "_sha"])
+    return queries.withColumn("_sha", F.sha2(text, 256)).join(s, [*identity, "_sha"], "left").drop("_sha")

@@ -262,3 +262,21 @@ def extraction_check(spark, sf):
     p = table(spark, sf, "passages").select("source_id", "source_version", "text")
     hit = c.join(p, ["source_id", "source_version"]).where(F.contains("text", "missing")).select("source_id", "source_version", "missing").distinct()
     return c.join(hit, ["source_id", "source_version", "missing"], "left_anti")
+
+
+LINES = """
+    l0 AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n?|\\n') AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l0),
+    h AS (SELECT doc_id, pos, line, CASE WHEN regexp_matches(line, '^#\\s+\\S') THEN pos END AS p1, CASE WHEN regexp_matches(line, '^##\\s+\\S') THEN pos END AS p2 FROM l),
+    c AS (SELECT doc_id, pos, line, last_value(p1 IGNORE NULLS) OVER w AS p1, last_value(p2 IGNORE NULLS) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"""
+    WITH {LINES} SELECT doc_id, count(*) AS lines, CAST(count(*) FILTER (p1 IS NOT NULL) AS BIGINT) AS under_1, CAST(count(*) FILTER (p2 > coalesce(p1, -1)) AS BIGINT) AS under_2 FROM c GROUP BY doc_id""")
+def heading_carry(spark, sf):
+    """W06 as windows: each line's last heading of either level; one of the second level ends at the next first."""
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\r\n?|\n", -1)).alias("pos", "line"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda p: F.last(F.when(F.col("line").rlike(p), F.col("pos")), ignorenulls=True).over(w)
+    c = docs.select("doc_id", at(r"^#\s+\S").alias("p1"), at(r"^##\s+\S").alias("p2"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count("p1").alias("under_1"), F.count_if(F.col("p2") > F.coalesce("p1", F.lit(-1))).alias("under_2"))

@@ -120,14 +120,15 @@ def choose_threshold(spark, sf):
 @query("""
     WITH q AS (SELECT vec_id AS query_id, embedding AS v, label AS l FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query_id, l, vec_id, label, list_sum(list_transform(list_zip(v, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings CROSS JOIN q WHERE vec_id <> query_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s),
     k AS (SELECT query_id, count(*) FILTER (label = l) AS hits FROM r WHERE rank <= 5 GROUP BY query_id)
     SELECT count(*) AS queries, round(avg((hits > 0)::BIGINT), 6) AS hit_at_5, round(avg(hits / 5), 6) AS precision_at_5 FROM k""")
 def retrieval_eval(spark, sf):
     """Queries are the vectors whose id is divisible by 100, against all."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("l"))
-    s = ranking.dense_scores(e, q).where("vec_id <> query_id")
+    held = [(r.query_id, r.q) for r in q.collect()]  # the stated query set
+    s = ranking.dense_top_k(e, held, 6).where("vec_id <> query_id").drop("rank")  # six, as one may be the query itself
     top = ranking.top_k(s, 5, "score", "vec_id").join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", "l"), "query_id")
     h = top.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("l")).alias("hits"))
     return h.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("hits") > 0).cast("long")), 6).alias("hit_at_5"), F.round(F.avg(F.col("hits") / 5), 6).alias("precision_at_5"))
@@ -139,7 +140,7 @@ def group_bootstrap(spark, sf, rounds: int = 2000):
     place, so that the result is the same on every cluster; only group totals are resampled."""
     g = table(spark, sf, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
     g = g.agg(F.array_sort(F.collect_list(F.struct("event_type", "s", "n"))).alias("gs"))  # event types are few
-    draws = spark.range(rounds).crossJoin(F.broadcast(g))
+    draws = spark.range(rounds).crossJoin(F.broadcast(g))  # g is one row
     pick = F.transform(F.sequence(F.lit(1), F.size("gs")), lambda i: F.element_at("gs", (F.pmod(F.xxhash64("id", i), F.size("gs").cast("long")) + 1).cast("int")))
     d = draws.select(pick.alias("x")).select((F.aggregate("x", F.lit(0.0), lambda a, b: a + b["s"]) / F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b["n"])).alias("mean"))
     return d.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.count("*").alias("rounds"))

@@ -68,6 +68,10 @@ def _queries(spark, sf) -> DataFrame:
     return b.where("terms IS NOT NULL")
 
 
+def _vectors(e: DataFrame, which: str) -> list[tuple[int, list[float]]]:
+    return [(r.vec_id, r.embedding) for r in e.where(which).select("vec_id", "embedding").orderBy("vec_id").collect()]
+
+
 def hybrid(spark, sf, k: int = 5) -> DataFrame:
     """BM25 and term overlap, eligible documents only, 30 of each, fused, the best k."""
     docs, q, ok = table(spark, sf, "documents"), _queries(spark, sf), _eligible(spark, sf)
@@ -105,23 +109,21 @@ def result_invariants(spark, sf):
 @query("""
     WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
     s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(v, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings CROSS JOIN q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 30""")
 def dense_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    s = ranking.dense_scores(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    return ranking.top_k(s, 30, "score", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranking.dense_top_k(e, _vectors(e, "vec_id < 5"), 30).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
     WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
     s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(v, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings CROSS JOIN q WHERE label IN (1, 3, 5)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def dense_topk_filtered(spark, sf):
     e = table(spark, sf, "embeddings")
-    s = ranking.dense_scores(e.where(F.col("label").isin(1, 3, 5)), e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    return ranking.top_k(s, 10, "score", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranking.dense_top_k(e.where(F.col("label").isin(1, 3, 5)), _vectors(e, "vec_id < 5"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""

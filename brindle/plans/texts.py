@@ -266,3 +266,9 @@ def claim_counts(spark, sf):
     """A20"""
     q = F.col("l_quantity")
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("draft")).agg(F.count("*").alias("claims"), F.count_if(q > 25).alias("supported"), F.count_if(F.col("l_discount") >= 0.09).alias("contradicted"), F.bool_or(q.between(24, 26)).alias("near_miss"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)<\\|[^<>|]{1,64}\\|>|</?think>|</?tool_call>|</?tool_response>') AS control FROM documents")
+def control_screen(spark, sf):
+    """X15"""
+    return table(spark, sf, "documents").select("doc_id", rules.control_syntax(F.col("text")).alias("control"))

@@ -48,6 +48,14 @@ def test_dense_top_k_blocks(spark):
     assert [x.vec_id for x in r] == [19, 18, 17]
 
 
+def test_reuse_vectors(spark):
+    import hashlib
+
+    q = spark.createDataFrame([(1, "m1", "hello"), (2, "m2", "hello"), (3, "m1", "x"), (4, None, "hello")], "i int, model string, t string")
+    s = spark.createDataFrame([("m1", hashlib.sha256(b"hello").hexdigest(), [1.0])], "model string, text_sha256 string, v array<double>")
+    assert {r.i: r.v for r in ranking.reuse_vectors(q, s, ["model"], "t", "v").collect()} == {1: [1.0], 2: None, 3: None, 4: None}
+
+
 def test_metrics(spark):
     lo, hi = metrics.wilson(F.lit(190.0), F.lit(200.0))
     r = spark.range(1).select(lo, hi, metrics.zero_miss_bound(F.lit(100)), metrics.bin_of(F.lit(0.3)), metrics.wilson(F.lit(0.0), F.lit(0.0))[0]).first()
@@ -72,6 +80,9 @@ def test_rules(spark):
     assert rules.merged([(0, 5, "PHONE"), (3, 9, "ID"), (20, 22, "EMAIL")]) == [(0, 9, "PHONE"), (20, 22, "EMAIL")]
     r = one(spark, rules.redact(F.col("t")), t="Mail a.b@c.org or phone 555-123-45-67.")
     assert r["text"] == "Mail [EMAIL] or phone [PHONE]." and r["categories"] == "EMAIL,PHONE"
+    r = one(spark, rules.redact(F.col("t")), t="My name is Ada Lovelace Has a cold; Dr. Who called. The student The Cell.")
+    assert r["text"] == "My name is [PERSON] Has a cold; Dr. [PERSON] called. The student The Cell." and r["categories"] == "PERSON"
+    assert [one(spark, rules.control_syntax(F.lit(t))) for t in ("<|im_start|>", "</think>", "a < b | c > d")] == [True, True, False]
     assert one(spark, rules.cue_flags(F.lit("No 5 mm left of it"))["high_risk"])
 
 
