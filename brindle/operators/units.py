@@ -59,7 +59,7 @@ CERTAIN = 0.9
 BIN = 0.1
 
 NUMBER = r"(?:\d{1,3}(?:[ ,]\d{3})+(?!\d)(?:\.\d+)?|\d+(?:[.,]\d+)?)(?:[eE][+-]?\d{1,3}(?!\d)| ?[×x] ?10(?:\^[+-]?\d{1,3}|[⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+))?"
-JOIN = r"(?: ?[–—-] ?| (?:to|and|or|bis|und|à|et|a|y|hasta) )"
+JOIN = r"(?: ?[–—-] ?| (?i:to|and|or|bis|und|à|et|a|y|hasta) )"
 SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
 
 
@@ -99,8 +99,8 @@ class Reader:
         number = rf"(?:{NUMBER}|(?i:\b(?:{words})\b))"
         self.quantity = re.compile(rf"(?<![\w.,^/])(?P<a>{number})(?:{JOIN}(?:[<>~≥≤] ?)?(?P<b>{number}))?(?P<u>\s?-?\s?(?P<unit>{unit}))?")
         self.bare = re.compile(rf"^\W*?(?P<a>{number})(?:{JOIN}(?P<b>{number}))?\W*$")
-        self.header = re.compile(rf"[(\[]\s*(?P<p>{unit})\s*[)\]]\s*$|\bin\s+(?P<i>{unit})\s*$")
-        self.announced = re.compile(rf"\b(?:are|is|given|values?|all)\b[^.:\n]*\bin\s+(?P<i>{unit})\s*[.:]?\s*$", re.I if not symbols else 0)
+        self.header = re.compile(rf"[(\[]\s*(?P<p>{unit})\s*[)\]]\s*$|\b(?i:in)\s+(?P<i>{unit})\s*$")
+        self.announced = re.compile(rf"\b(?i:are|is|given|values?|all)\b[^.:\n]*\b(?i:in)\s+(?P<i>{unit})\s*[.:]?\s*$")
         self.maybe = re.compile(rf"\d|(?i:\b(?:{words})\b)")
 
     def unit(self, alias: str) -> tuple[str, str, str] | None:
