@@ -22,15 +22,17 @@ def top_k(df: DataFrame, k: int, by: str, key: str, group: str = "query_id", ran
 def dense_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest vectors of each query of a stated set: blocks of vectors against the whole query matrix, k
     best of each block kept, then merged; what is shuffled is k rows a query and block. Scores are rounded to nine
-    places, so that equal ones tie, and ties go to the smaller key."""
+    places, so that equal ones tie, and ties go to the smaller key. Keys are numbers or strings; a null one takes no
+    part."""
     ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), len(queries[0][1]) if queries else 0)
     held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    kind = "string" if dict(vectors.dtypes)[key] == "string" else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = held.value
         for b in batches:
-            keys = b.column(0).to_numpy()
+            keys = np.array(b.column(0).to_pylist())
             s = np.round(q @ b.column(1).flatten().to_numpy().reshape(len(keys), -1).astype(np.float64).T, 9)
             rows, cols = [], []
             for i in range(len(q)):
@@ -38,11 +40,11 @@ def dense_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
                 rows.append(np.full(len(best), i)), cols.append(best)
             if rows:
                 r, c = np.concatenate(rows), np.concatenate(cols)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(keys[c]), pa.array(s[r, c])], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(keys[c].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(s[r, c])], names=["query_id", key, "score"])
 
     dim = matrix.shape[1]
-    src = vectors.where((F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull())).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
-    return top_k(src.mapInArrow(run, f"query_id long, {key} long, score double"), k, "score", key)
+    src = vectors.where((F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull()) & F.col(key).isNotNull()).select(F.col(key).cast(kind).alias(key), F.col(vector).cast("array<double>").alias(vector))
+    return top_k(src.mapInArrow(run, f"query_id long, {key} {kind}, score double"), k, "score", key)
 
 
 def rrf(branches: list[DataFrame], key: str, k: int = 30) -> DataFrame:
@@ -96,7 +98,7 @@ def select_evidence(candidates: DataFrame, threshold: float, most: int = 5, over
                 kept.append((r, spans))
         return pd.DataFrame([(r.query_id, r.passage_id, i + 1, r.logit) for i, (r, _) in enumerate(kept[:most])], columns=["query_id", "passage_id", "place", "logit"])
 
-    return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, passage_id string, place int, logit double")
+    return candidates.groupBy("query_id").applyInPandas(pick, f"query_id long, passage_id {dict(candidates.dtypes)['passage_id']}, place int, logit double")
 
 
 def conflict_closure(selected: DataFrame, records: DataFrame, rounds: int = 5) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.hashing import hashed_features
 from brindle.functions.text import match_terms, words
 from brindle.operators import lexical, ranking, relations
 from brindle.plans.registry import query
-from brindle.session import table
+from brindle.session import cut, spread, table
 
 TERMS = ["urothelium", "pancreas", "vessels", "fibroblasts", "thickness", "serosa"]
 TERM_LIST = ", ".join(f"'{t}'" for t in TERMS)
@@ -73,7 +74,8 @@ def _vectors(e: DataFrame, which: str) -> list[tuple[int, list[float]]]:
 
 
 def hybrid(spark, sf, k: int = 5) -> DataFrame:
-    """BM25 and term overlap, eligible documents only, 30 of each, fused, the best k."""
+    """The lexical part of G01, which the SQL can say: BM25 and term overlap, eligible documents only, 30 of each, fused,
+    the best k. evidence() is the whole."""
     docs, q, ok = table(spark, sf, "documents"), _queries(spark, sf), _eligible(spark, sf)
     lex = lexical.bm25_top_k(docs, q, 30, eligible=ok).select("query_id", "doc_id", "score")
     over = lexical.bm25_top_k(docs, q, 30, eligible=ok, overlap=True).select("query_id", "doc_id", "score")
@@ -106,6 +108,59 @@ def result_invariants(spark, sf):
     return h.agg(F.count("*").alias("rows"), F.countDistinct("query_id", "doc_id").alias("pairs"), F.max("rank").cast("long").alias("most"), F.sum(F.col("rank").isNull().cast("long")).alias("unranked"))
 
 
+DIM = 384
+T_RERANK = 0.0  # inclusive; the reference's threshold for the stand-in reranker
+
+
+def fused(docs: DataFrame, items: DataFrame, key: str, eligible: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the 30 best of each query by reciprocal ranks of the 30 nearest vectors (M01, hashed
+    features) and the 30 best by BM25 (M08). items: query_id, terms, text, a stated set that every task holds."""
+    ok = docs if eligible is None else docs.join(eligible, key, "left_semi")
+    held = [(r.query_id, r.v) for r in items.select("query_id", hashed_features(F.col("text"), DIM).alias("v")).where("v IS NOT NULL").orderBy("query_id").collect()]
+    vectors = spread(ok.select(key, "text")).select(key, hashed_features(F.col("text"), DIM).alias("v"))
+    dense = ranking.dense_top_k(vectors, held, 30, key, "v").select("query_id", key, "score")
+    lex = lexical.bm25_top_k(docs, items, 30, key=key, eligible=eligible).select("query_id", key, "score")
+    return cut(ranking.rrf([dense, lex], key))
+
+
+def evidence(docs: DataFrame, items: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(query_id, doc_id, logit, place, reason), a row for each selected document, or one without document for an
+    item that has none. Dense and lexical candidates are fused, all of them reranked (M06), selected from (G02) and
+    checked for eligibility once more. Items without terms are no queries."""
+    f = fused(docs, items, "doc_id", eligible)
+    text = docs.select("doc_id", "text", "source", F.coalesce("title", F.lit("")).alias("section"))
+    c = text.join(F.broadcast(f.select("query_id", "doc_id", F.col("score").alias("rrf"))), "doc_id").join(F.broadcast(items.select("query_id", "terms")), "query_id")
+    c = c.select(
+        "query_id", F.col("doc_id").alias("passage_id"), "source", "section", F.sha2("text", 256).alias("text_sha"), F.expr("CAST(NULL AS array<struct<block:string,start:int,end:int>>)").alias("spans"),
+        ranking.overlap_score(F.col("terms"), words(F.col("text"))).cast("double").alias("logit"), "rrf",
+    )
+    chosen = ranking.select_evidence(c, T_RERANK).withColumnRenamed("passage_id", "doc_id").join(eligible, "doc_id", "left_semi")
+    any_ok = eligible.agg((F.count("*") > 0).alias("any_ok"))
+    matched = f.select("query_id").distinct().withColumn("matched", F.lit(True))
+    q = items.select("query_id").crossJoin(F.broadcast(any_ok)).join(matched, "query_id", "left").join(chosen.select("query_id", "doc_id", "logit", "place"), "query_id", "left")
+    reason = F.when(F.col("doc_id").isNotNull(), "QUALIFYING_PASSAGES").when(~F.col("any_ok"), "NO_ELIGIBLE_PASSAGES").when(F.col("matched").isNull(), "NO_MATCHES").otherwise("BELOW_THRESHOLD")
+    return q.select("query_id", "doc_id", "logit", "place", reason.alias("reason"))
+
+
+def _items(spark, sf) -> DataFrame:
+    b = table(spark, sf, "benchmark").where("item_id IS NOT NULL")
+    return b.select(F.col("item_id").alias("query_id"), "text", match_terms(F.col("text")).alias("terms")).where("terms IS NOT NULL").dropDuplicates(["query_id"])
+
+
+@query()
+def hybrid_evidence(spark, sf):
+    """G01 in full for every benchmark item."""
+    return evidence(table(spark, sf, "documents"), _items(spark, sf), _eligible(spark, sf))
+
+
+@query()
+def evidence_invariants(spark, sf):
+    """Of G01's result: rows, different pairs, the last place, and rows below the threshold or without reason (none)."""
+    e = hybrid_evidence(spark, sf)
+    bad = F.col("reason").isNull() | (F.col("doc_id").isNotNull() & (F.col("place").isNull() | (F.col("logit") < T_RERANK)))
+    return e.agg(F.count("doc_id").alias("rows"), F.countDistinct("query_id", "doc_id").alias("pairs"), F.max("place").cast("long").alias("most"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"))
+
+
 @query("""
     WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
     s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(v, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings CROSS JOIN q),
