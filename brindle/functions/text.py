@@ -34,8 +34,9 @@ def match_terms(text: Column, most: int = 64) -> Column:
 
 
 def token_count(text: Column, special: int = 2) -> Column:
-    """The fixture token counter: max(1, (length + 5) // 6) for each word or sign, and the special tokens."""
-    pieces = F.regexp_extract_all(text, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    """The fixture token counter: max(1, (length + 5) // 6) for each word or sign, and the special tokens. Words are
+    runs of letters and digits of any script, and blanks those of any script, as in Python."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"), F.lit(0))
     return F.aggregate(pieces, F.lit(special), lambda s, x: s + F.greatest(F.lit(1), F.floor((F.length(x) + 5) / 6).cast("int")))
 
 

@@ -26,6 +26,12 @@ def token_count(spark, sf):
     return d.select("doc_id", text.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
+@query()
+def token_count_all(spark, sf):
+    """X05 of every document, whatever its script."""
+    return table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).cast("long").alias("tokens"))
+
+
 @query("""
     SELECT item_id, CASE WHEN length(text) > 200 THEN 'too_long' WHEN len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) = 0 THEN 'no_content'
            WHEN len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) > 25 THEN 'too_many_tokens' ELSE 'ok' END AS verdict FROM benchmark""")

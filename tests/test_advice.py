@@ -1,8 +1,12 @@
 """The whole job of queries whose SQL says only a part of it."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from brindle.plans import retrieval
+from brindle.functions import text
+from brindle.plans import retrieval, texts
+from brindle.session import table
 
 ITEMS = "query_id long, text string, terms array<string>"
 
@@ -21,3 +25,15 @@ def test_evidence_has_dense_candidates_threshold_selection_and_reasons(spark):
     f = retrieval.fused(docs, items, "doc_id", ok)
     assert f.where("query_id = 2").count() == 4
     assert retrieval.fused(docs.select(F.concat(F.lit("p"), "doc_id").alias("doc_id"), "text"), items, "doc_id").where("query_id = 2 AND doc_id = 'p5'").count() == 1
+
+
+def tokens(s):
+    return 2 + sum(max(1, (len(x) + 5) // 6) for x in re.findall(r"\w+|[^\w\s]", s))
+
+
+def test_token_count_in_every_script(spark, sf):
+    all_ = ["épithélium", "соединительная ткань", "上皮組織は", "a_b ½ x²", "blank\u00a0here\u3000and\x85there\x1fend", "e\u0301 x", "𝒜b\U0001f600", "", "plain words."]
+    df = spark.createDataFrame([(s,) for s in all_], "t string").select("t", text.token_count(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == {s: tokens(s) for s in all_}
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    assert {r.doc_id: r.tokens for r in texts.token_count_all(spark, sf).collect()} == {k: None if t is None else tokens(t) for k, t in docs.items()}
