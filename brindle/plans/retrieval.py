@@ -109,6 +109,7 @@ def result_invariants(spark, sf):
 
 
 DIM = 384
+HUNDREDTH = "vec_id % 100 = 0 AND embedding IS NOT NULL"
 T_RERANK = 0.0  # inclusive; the reference's threshold for the stand-in reranker
 
 
@@ -181,6 +182,20 @@ def dense_topk_filtered(spark, sf):
     return ranking.dense_top_k(e.where(F.col("label").isin(1, 3, 5)), _vectors(e, "vec_id < 5"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def dense_topk_hundredth(spark, sf):
+    """The 30 nearest of every vector whose id is divisible by 100, the query set of retrieval_eval."""
+    e = table(spark, sf, "embeddings")
+    return ranking.dense_top_k(e, _vectors(e, HUNDREDTH), 30)
+
+
+@query()
+def dense_topk_filtered_hundredth(spark, sf):
+    """The 10 nearest with an allowed label of every vector whose id is divisible by 100."""
+    e = table(spark, sf, "embeddings")
+    return ranking.dense_top_k(e.where(F.col("label").isin(1, 3, 5)), _vectors(e, HUNDREDTH), 10)
+
+
 @query(f"""
     WITH q AS (SELECT unnest([{TERM_LIST}]) AS term), {DOC_STATS}, {SCORES},
     a AS (SELECT doc_id, row_number() OVER (ORDER BY round(sum(part), 9) DESC, doc_id) AS r FROM part GROUP BY doc_id),

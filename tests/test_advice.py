@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import text
@@ -37,3 +38,17 @@ def test_token_count_in_every_script(spark, sf):
     assert {r.t: r.n for r in df.collect()} == {s: tokens(s) for s in all_}
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     assert {r.doc_id: r.tokens for r in texts.token_count_all(spark, sf).collect()} == {k: None if t is None else tokens(t) for k, t in docs.items()}
+
+
+def test_dense_queries_are_the_stated_set(spark, sf):
+    e = {r.vec_id: (r.embedding, r.label) for r in table(spark, sf, "embeddings").collect()}
+
+    def best(labels, k):
+        out = set()
+        for q in (x for x in e if x % 100 == 0):
+            s = sorted((-round(float(np.dot(np.float64(e[q][0]), np.float64(v))), 9), i) for i, (v, lab) in e.items() if labels is None or lab in labels)
+            out |= {(q, i, n + 1) for n, (_, i) in enumerate(s[:k])}
+        return out
+
+    assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_hundredth(spark, sf).collect()} == best(None, 30)
+    assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_filtered_hundredth(spark, sf).collect()} == best({1, 3, 5}, 10)
