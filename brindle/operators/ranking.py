@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.corpus import components
+from brindle.session import written
+
 RRF_K = 60
 
 
@@ -101,15 +104,27 @@ def select_evidence(candidates: DataFrame, threshold: float, most: int = 5, over
     return candidates.groupBy("query_id").applyInPandas(pick, f"query_id long, passage_id {dict(candidates.dtypes)['passage_id']}, place int, logit double")
 
 
-def conflict_closure(selected: DataFrame, records: DataFrame, rounds: int = 5) -> DataFrame:
+def conflict_step(selected: DataFrame, records: DataFrame) -> DataFrame:
+    """J05, one round: selected (query_id, passage_id), distinct, and the members of every record (record_id,
+    passage_id) that has a selected member."""
+    touched = selected.join(records, "passage_id").select("query_id", "record_id").distinct()
+    return selected.unionByName(touched.join(records, "record_id").select("query_id", "passage_id")).distinct()
+
+
+def conflict_closure(selected: DataFrame, records: DataFrame) -> DataFrame:
     """Passages that records of conflicting sides draw in. selected: (query_id, passage_id); records: (record_id,
-    passage_id). A record with a selected member brings in all its members, and so on, at most `rounds` times (a
-    selection has no more than five places)."""
+    passage_id). A record with a selected member brings in all its members, and so on until nothing changes.
+
+    What a passage draws in, directly or not, is its component in the graph of records and passages, which is the same
+    for every query: components() finds it once, with an error if it does not settle, and each query takes the
+    components that it touches. A selected passage without records stands for itself."""
+    r = records.where("record_id IS NOT NULL AND passage_id IS NOT NULL")
+    mark = lambda c, t: F.concat(F.lit(f"{t}:"), F.col(c).cast("string"))
+    of = components(r.select(mark("passage_id", "p").alias("u"), mark("record_id", "r").alias("v")))
+    member = written(r.select("passage_id").distinct().join(of.where("startswith(node, 'p:')").select("node", "root"), mark("passage_id", "p") == F.col("node")).select("passage_id", "root"))
     now = selected.select("query_id", "passage_id").distinct()
-    for _ in range(rounds):
-        touched = now.join(records, "passage_id").select("query_id", "record_id").distinct()
-        now = now.unionByName(touched.join(records, "record_id").select("query_id", "passage_id")).distinct()
-    return now
+    touched = now.join(member, "passage_id").select("query_id", "root").distinct()
+    return touched.join(member, "root").select("query_id", "passage_id").unionByName(now.join(member.select("passage_id"), "passage_id", "left_anti").select("query_id", "passage_id"))
 
 
 def reuse_vectors(queries: DataFrame, stored: DataFrame, identity: list[str], text: str, vector: str) -> DataFrame:

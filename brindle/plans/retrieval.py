@@ -253,7 +253,15 @@ def conflict_closure(spark, sf):
     li = table(spark, sf, "lineitem")
     records = li.select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("passage_id")).distinct()
     start = li.where("l_orderkey < 40").select((F.col("l_orderkey") % 100).alias("query_id"), F.col("l_partkey").alias("passage_id"))
-    return ranking.conflict_closure(start, records, rounds=1).groupBy("query_id").agg(F.count("*").alias("passages"))
+    return ranking.conflict_step(start.distinct(), records).groupBy("query_id").agg(F.count("*").alias("passages"))
+
+
+@query()
+def conflict_fixpoint(spark, sf):
+    """The whole closure, from every order."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("passage_id"))
+    start = li.select((F.col("record_id") % 100).alias("query_id"), "passage_id")
+    return ranking.conflict_closure(start, li.distinct()).groupBy("query_id").agg(F.count("*").alias("passages"))
 
 
 @query("""

@@ -1,11 +1,13 @@
 """The whole job of queries whose SQL says only a part of it."""
 
+import random
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import text
+from brindle.operators import ranking
 from brindle.plans import retrieval, texts
 from brindle.session import table
 
@@ -52,3 +54,18 @@ def test_dense_queries_are_the_stated_set(spark, sf):
 
     assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_hundredth(spark, sf).collect()} == best(None, 30)
     assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_filtered_hundredth(spark, sf).collect()} == best({1, 3, 5}, 10)
+
+
+def test_conflict_closure_reaches_its_fixpoint(spark):
+    r = random.Random(5)
+    chain = [(i, j) for i in range(30) for j in (i, i + 1)]  # thirty rounds
+    loose = [(100 + i, 100 + r.randrange(80)) for i in range(40) for _ in range(2)]
+    start = {(1, 0), (2, 15), (2, 999), (3, 105), (4, 998)} | {(5, 100 + i) for i in range(0, 80, 7)}
+    want = set(start)
+    while True:
+        more = want | {(q, b) for q, p in want for k, a in chain + loose if a == p for n, b in chain + loose if n == k}
+        if more == want:
+            break
+        want = more
+    got = ranking.conflict_closure(spark.createDataFrame(sorted(start), "query_id long, passage_id long"), spark.createDataFrame(chain + loose, "record_id long, passage_id long"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
