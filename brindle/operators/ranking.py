@@ -80,16 +80,42 @@ def _overlap(a: list, b: list) -> float:
     return shared / least if least else 0.0
 
 
-def select_evidence(candidates: DataFrame, threshold: float, most: int = 5, overlap: float = 0.8) -> DataFrame:
-    """Greedy selection per query. candidates: query_id, passage_id, source, section, text_sha, spans
-    (array of (block, start, end)), logit, rrf. At or above the threshold, in the order (-logit, -rrf, id), a candidate
-    is left out if a kept one of its source has the same text, or the same section and enough shared span.
+def _settle(ids: list, records: dict, most: int) -> tuple[list, dict] | None:
+    """The conflict fixpoint of one query. ids: kept passages in rank order; records: conflict -> (approved, sides).
+    Selected passages and the conflicts they touch; None if a conflict is not approved, has a single side or one
+    without kept passage, or if all sides together need more than `most` places."""
+    place, chosen, relevant = {p: i for i, p in enumerate(ids)}, ids[:most], {}
+    while True:
+        new = {c: sides for c, (approved, sides) in records.items() if c not in relevant and any(p in chosen for s in sides for p in s)}
+        if any(not records[c][0] or len(sides) < 2 or any(not any(p in place for p in s) for s in sides) for c, sides in new.items()):
+            return None
+        relevant |= new
+        required = {min((p for p in s if p in place), key=place.get) for sides in relevant.values() for s in sides}
+        if len(required) > most:
+            return None
+        others = [p for p in ids if p not in required][: most - len(required)]
+        now = sorted([*required, *others], key=place.get)
+        if now == chosen and not new:
+            return chosen, relevant
+        chosen = now
+
+
+def select_evidence(candidates: DataFrame, threshold: float, most: int = 5, overlap: float = 0.8, conflicts: DataFrame | None = None) -> DataFrame:
+    """(query_id, passage_id, place, logit, conflicts, error), the selection of each query. candidates: query_id,
+    passage_id, source, section, text_sha, spans (array of (block, start, end)), logit, rrf. At or above the threshold,
+    in the order (-logit, -rrf, id), a candidate is left out if a kept one of its source has the same text, or the same
+    section and enough shared span.
+
+    conflicts: (conflict_id, side, passage_id, approved), the registered conflicts, a row for each member. A conflict
+    with a selected member brings in the best kept passage of every side, and so on until nothing changes; a query where
+    that cannot be done has one row without passage, with the error CONFLICT_EVIDENCE_INCOMPLETE.
 
     Queries have a few dozen candidates each; the order matters, so each query is one group."""
     if threshold is None:
         raise ValueError("a threshold is needed; there is no default of zero")
+    names = ["query_id", "passage_id", "place", "logit", "conflicts", "error"]
 
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
+    def pick(g: pd.DataFrame, c: pd.DataFrame | None = None) -> pd.DataFrame:
         g = g[g.logit >= threshold].sort_values(["logit", "rrf", "passage_id"], ascending=[False, False, True])
         kept: list = []
         for r in g.itertuples():
@@ -99,9 +125,24 @@ def select_evidence(candidates: DataFrame, threshold: float, most: int = 5, over
                     break
             else:
                 kept.append((r, spans))
-        return pd.DataFrame([(r.query_id, r.passage_id, i + 1, r.logit) for i, (r, _) in enumerate(kept[:most])], columns=["query_id", "passage_id", "place", "logit"])
-
-    return candidates.groupBy("query_id").applyInPandas(pick, f"query_id long, passage_id {dict(candidates.dtypes)['passage_id']}, place int, logit double")
+        records = {}
+        for cid, m in c.groupby("conflict_id") if c is not None else ():
+            records[cid] = (all(x is True or x == 1 for x in m.approved), [list(s.passage_id) for _, s in m.groupby("side")])
+        by_id = {r.passage_id: r for r, _ in kept}
+        settled = _settle(list(by_id), records, most)
+        if settled is None:
+            return pd.DataFrame([(kept[0][0].query_id, None, None, None, None, "CONFLICT_EVIDENCE_INCOMPLETE")], columns=names)
+        chosen, relevant = settled
+        own = lambda p: sorted(x for x, sides in relevant.items() if any(p in s for s in sides))
+        return pd.DataFrame([(by_id[p].query_id, p, i + 1, by_id[p].logit, own(p), None) for i, p in enumerate(chosen)], columns=names)
+
+    schema = f"query_id long, passage_id {dict(candidates.dtypes)['passage_id']}, place int, logit double, conflicts array<string>, error string"
+    if conflicts is None:
+        return candidates.groupBy("query_id").applyInPandas(lambda g: pick(g), schema)
+    c = conflicts.select(F.col("conflict_id").cast("string").alias("conflict_id"), "side", "passage_id", "approved")
+    near = candidates.select("query_id", "passage_id").join(c, "passage_id").select("query_id", "conflict_id").distinct()
+    sides = near.join(c, "conflict_id").select(F.col("query_id").alias("q"), "conflict_id", "side", "passage_id", "approved")
+    return candidates.groupBy("query_id").cogroup(sides.groupBy("q")).applyInPandas(lambda g, c: pick(g, c), schema)
 
 
 def conflict_step(selected: DataFrame, records: DataFrame) -> DataFrame:

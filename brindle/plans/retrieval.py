@@ -233,14 +233,17 @@ def select_dedupe(spark, sf):
 
 @query()
 def select_greedy(spark, sf):
-    """G02 in full: greedy over the fused candidates of every benchmark item, by passage spans."""
-    q = _queries(spark, sf)
+    """Greedy over the fused and reranked candidates of every benchmark item, by passage spans. No table holds
+    registered conflicts, and they are never inferred, so select_evidence gets none here."""
+    q = _items(spark, sf)
     p = table(spark, sf, "passages").where("passage_id IS NOT NULL").dropDuplicates(["passage_id"])
     spans = F.from_json("spans_json", "array<array<string>>")
     info = p.select("passage_id", F.concat_ws("@", "source_id", "source_version").alias("source"), F.coalesce("section_path_json", F.lit("")).alias("section"), F.sha2("text", 256).alias("text_sha"), spans.alias("raw"))
     info = info.withColumn("spans", F.expr("transform(coalesce(raw, array()), x -> named_struct('block', x[0], 'start', coalesce(try_cast(x[1] AS int), 0), 'end', coalesce(try_cast(x[2] AS int), 0)))")).drop("raw")
-    s = lexical.bm25_top_k(p, q, 30, key="passage_id")
-    c = s.join(info, "passage_id").select("query_id", "passage_id", "source", "section", "text_sha", "spans", F.col("score").alias("logit"), (1 / (60 + F.col("rank"))).alias("rrf"))
+    f = fused(p, q, "passage_id").select("query_id", "passage_id", F.col("score").alias("rrf"))
+    c = p.select("passage_id", words(F.col("text")).alias("w")).join(F.broadcast(f), "passage_id").join(F.broadcast(q.select("query_id", "terms")), "query_id")
+    c = c.select("query_id", "passage_id", ranking.overlap_score(F.col("terms"), F.col("w")).cast("double").alias("logit"), "rrf")
+    c = info.join(F.broadcast(c), "passage_id").select("query_id", "passage_id", "source", "section", "text_sha", "spans", "logit", "rrf")
     return ranking.select_evidence(c, threshold=2.0)
 
 

@@ -69,3 +69,20 @@ def test_conflict_closure_reaches_its_fixpoint(spark):
         want = more
     got = ranking.conflict_closure(spark.createDataFrame(sorted(start), "query_id long, passage_id long"), spark.createDataFrame(chain + loose, "record_id long, passage_id long"))
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def test_selection_brings_in_every_side_of_a_conflict(spark):
+    c = spark.createDataFrame(
+        [(q, f"p{i}", f"s{i}", "x", f"h{i}", None, 9.0 - i, 0.1) for q in range(1, 4) for i in range(8) if q != 2 or i != 7],
+        "query_id long, passage_id string, source string, section string, text_sha string, spans array<struct<block:string,start:int,end:int>>, logit double, rrf double",
+    )  # p0 to p4 come first; k1 draws in p6, and p6 by k2 p7
+    k = spark.createDataFrame([("k1", "a", "p1", True), ("k1", "b", "p6", True), ("k2", "a", "p6", True), ("k2", "b", "p7", True)], "conflict_id string, side string, passage_id string, approved boolean")
+    got = {}
+    for r in ranking.select_evidence(c, 0.0, conflicts=k).orderBy("place").collect():
+        got.setdefault(r.query_id, []).append((r.passage_id, r.error))
+    assert [p for p, _ in got[1]] == ["p0", "p1", "p2", "p6", "p7"] == [p for p, _ in got[3]]
+    assert got[2] == [(None, "CONFLICT_EVIDENCE_INCOMPLETE")]
+    bad = ranking.select_evidence(c, 0.0, conflicts=k.withColumn("approved", F.lit(None).cast("boolean"))).collect()
+    assert [r.error for r in bad] == ["CONFLICT_EVIDENCE_INCOMPLETE"] * 3
+    many = spark.createDataFrame([("k", str(i), f"p{i}", True) for i in range(6)], k.schema)
+    assert {r.error for r in ranking.select_evidence(c, 0.0, conflicts=many).collect()} == {"CONFLICT_EVIDENCE_INCOMPLETE"}
