@@ -79,6 +79,26 @@ def stratified_split(df: DataFrame, key: str, stratum: str, shares: list[tuple[s
     return r.withColumn("split", part).drop("_h", "_s", "_st", "_bs", "_b", "_n", "_r")
 
 
+def families(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """df with the column family: rows of one group, or of equal text after normalisation, are one family, and so on from
+    row to row. A row without group and text is its own family."""
+    own = F.concat(F.lit("k:"), F.col(key).cast("string"))
+    g, t = F.concat(F.lit("g:"), F.col(group).cast("string")), F.concat(F.lit("t:"), F.sha2(split_key(F.col(text)), 256))
+    d = written(df.withColumn("_node", F.coalesce(g, t, own)).withColumn("_text", t))
+    of = components(d.select(F.col("_node").alias("u"), F.coalesce("_text", "_node").alias("v")).distinct())
+    return d.join(of, d["_node"] == of["node"], "left").withColumn("family", F.coalesce("root", "_node")).drop("_node", "_text", "node", "root")
+
+
+def group_split(df: DataFrame, key: str, group: str, text: str, stratum: str, shares: list[tuple[str, float]], n_files: int = 64) -> DataFrame:
+    """Df with family and split. Families are split whole; a family's stratum is its most common one, the smaller
+    of equals, and the shares are those of the families of a stratum."""
+    d = written(families(df, key, group, text))
+    n = d.groupBy("family", stratum).agg(F.count("*").alias("n"))
+    one = n.groupBy("family").agg(F.min_by(stratum, F.struct(-F.col("n"), F.col(stratum))).alias("_stratum"))
+    part = stratified_split(one, "family", "_stratum", shares, n_files).select("family", "split")
+    return d.join(part, "family")
+
+
 def crossing(df: DataFrame, group: str, part: str) -> DataFrame:
     """groups that stand in more than one partition."""
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.countDistinct(part).alias("partitions"), F.count("*").alias("rows")).where("partitions > 1")

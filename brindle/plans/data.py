@@ -176,6 +176,20 @@ def hash_split(spark, sf):
     return table(spark, sf, "documents").select("source").distinct().select("source", corpus.hash_split(F.col("source"), 0.3).alias("part"))
 
 
+@query()
+def group_split(spark, sf):
+    """Documents split by families of equal text, stratified by kind. A document has no group but itself."""
+    d = table(spark, sf, "documents").select("doc_id", "doc_kind", "text")
+    return corpus.group_split(d, "doc_id", "doc_id", "text", "doc_kind", SHARES).select("doc_id", "doc_kind", "family", "split")
+
+
+@query()
+def family_hash_split(spark, sf):
+    """Documents split by the hash of their family, over source and equal text."""
+    d = corpus.families(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text")
+    return d.select("doc_id", "source", "family", corpus.hash_split(F.col("family"), 0.3).alias("part"))
+
+
 @query("SELECT group_id, count(DISTINCT lower(trim(partition))) AS partitions, count(*) AS rows FROM synthetic WHERE group_id IS NOT NULL GROUP BY group_id HAVING count(DISTINCT lower(trim(partition))) > 1")
 def group_cross(spark, sf):
     return corpus.crossing(table(spark, sf, "synthetic").withColumn("part", F.lower(F.trim("partition"))), "group_id", "part")

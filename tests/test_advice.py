@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import text
-from brindle.operators import ranking
+from brindle.operators import corpus, ranking
 from brindle.plans import retrieval, texts
 from brindle.session import table
 
@@ -86,3 +86,20 @@ def test_selection_brings_in_every_side_of_a_conflict(spark):
     assert [r.error for r in bad] == ["CONFLICT_EVIDENCE_INCOMPLETE"] * 3
     many = spark.createDataFrame([("k", str(i), f"p{i}", True) for i in range(6)], k.schema)
     assert {r.error for r in ranking.select_evidence(c, 0.0, conflicts=many).collect()} == {"CONFLICT_EVIDENCE_INCOMPLETE"}
+
+
+def test_group_split_keeps_families_whole(spark):
+    rows = [(i, i // 2 if i < 200 else None, f"Text {i}" if i % 10 else f"copy, {i // 40}", "a" if i < 150 else "b") for i in range(400)] + [(400, None, None, "b")]
+    d = spark.createDataFrame(rows, "id long, g long, t string, s string")
+    got = {r.id: r for r in corpus.group_split(d, "id", "g", "t", "s", [("x", 0.6), ("y", 0.4)]).collect()}
+    assert len(got) == 401
+    first, root = {}, {r[0]: r[0] for r in rows}
+    for i, g, t, _ in rows:
+        for k in (("g", g), ("t", t)):
+            if k[1] is not None:
+                a, b = root[i], root[first.setdefault(k, i)]
+                root.update({x: min(a, b) for x, y in root.items() if y in (a, b)})
+    assert len({(root[i], r.family) for i, r in got.items()}) == len(set(root.values())) == len({r.family for r in got.values()})
+    assert len({(r.family, r.split) for r in got.values()}) == len({r.family for r in got.values()})
+    parts = [r.split for r in {r.family: r for r in got.values()}.values()]
+    assert abs(parts.count("x") - 0.6 * len(parts)) <= 1
