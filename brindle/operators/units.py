@@ -170,11 +170,19 @@ def _aliases(units: DataFrame) -> list[tuple[str, str, str | None, str | None]]:
     return [tuple(r) for r in sorted(rows, key=str)]
 
 
+def _double(value: Fraction) -> float:
+    """Infinite beyond the range of a double."""
+    try:
+        return float(value)
+    except OverflowError:
+        return float("inf")
+
+
 MEASURE_PATTERN = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in MEASURES.items()}
 
 
 def quantities(passages: DataFrame, units: DataFrame) -> DataFrame:
-    """(passage_id, source_id, kind, unit, common_unit, where, value, value_milli, excess): a row for each number.
+    """(passage_id, source_id, kind, unit, common_unit, where, value, value_milli, whole, too_large): a row for each number.
 
     kind is the unit's dimension, or for a bare number what it measures, if the words before it tell; value is as
     written, value_milli in thousandths of the common unit; whole tells whether that needed no rounding."""
@@ -184,30 +192,29 @@ def quantities(passages: DataFrame, units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(held.value)
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(10)]
             for pid, sid, text in zip(*(c.to_pylist() for c in b.columns)):
                 for value, unit, where, near in reader.read(text):
                     if unit:
                         x = value * Fraction(PER_COMMON[unit[0]]) * 1000
-                        if abs(x) >= 1 << 62:
-                            continue
-                        row = (pid, sid, unit[1], unit[0], unit[2], where, float(value), round(x), x.denominator == 1)
+                        large = abs(round(x)) >= 1 << 63
+                        row = (pid, sid, unit[1], unit[0], unit[2], where, _double(value), None if large else round(x), x.denominator == 1, large)
                     else:
                         kind = next((k for k, p in MEASURE_PATTERN.items() if p.search(near.split("\n")[0][-40:])), None)
                         if kind is None or not value or value >= 10**12:
                             continue
-                        row = (pid, sid, kind, None, None, where, float(value), None, None)
+                        row = (pid, sid, kind, None, None, where, float(value), None, None, False)
                     for c, v in zip(cols, row):
                         c.append(v)
-            kinds = (pa.string(),) * 6 + (pa.float64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["passage_id", "source_id", "kind", "unit", "common_unit", "where", "value", "value_milli", "whole"])
+            kinds = (pa.string(),) * 6 + (pa.float64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["passage_id", "source_id", "kind", "unit", "common_unit", "where", "value", "value_milli", "whole", "too_large"])
 
     src = passages.select(F.col("passage_id").cast("string"), F.col("source_id").cast("string"), F.col("text")).where("passage_id IS NOT NULL AND text IS NOT NULL")
-    return spread(src).mapInArrow(run, "passage_id string, source_id string, kind string, unit string, common_unit string, where string, value double, value_milli long, whole boolean")
+    return spread(src).mapInArrow(run, "passage_id string, source_id string, kind string, unit string, common_unit string, where string, value double, value_milli long, whole boolean, too_large boolean")
 
 
 def found(passages: DataFrame, units: DataFrame) -> DataFrame:
-    return quantities(passages, units).where("value_milli IS NOT NULL").select("passage_id", "common_unit", "value_milli").distinct()
+    return quantities(passages, units).where("unit IS NOT NULL").select("passage_id", "common_unit", "value_milli").distinct()
 
 
 def fit_mixture(explicit: dict[str, np.ndarray], bare: np.ndarray, shift: dict[str, float], rounds: int = 50) -> dict[str, np.ndarray]:
@@ -250,7 +257,7 @@ def infer_units(passages: DataFrame, units: DataFrame) -> DataFrame:
     """passage_id, source_id, kind, value, unit, common_unit, value_milli, posterior, uncertain: bare measured numbers
     with the unit that the mixture gives them."""
     lo, bins = -8.0, 200
-    q = quantities(passages, units).withColumn("bin", F.least(F.greatest(F.floor((F.log10("value") - lo) / BIN), F.lit(0)), F.lit(bins - 1)).cast("int")).where("value > 0")
+    q = quantities(passages, units).withColumn("bin", F.least(F.greatest(F.floor((F.log10("value") - lo) / BIN), F.lit(0)), F.lit(bins - 1)).cast("int")).where("value > 0 AND NOT too_large")
     hist = q.groupBy("kind", "unit", "common_unit", "bin").agg(F.count("*").alias("n")).collect()
     common = {r.kind: r.common_unit for r in hist if r.common_unit}
     rows = []

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import text
-from brindle.operators import corpus, ranking
+from brindle.operators import corpus, ranking, units
 from brindle.plans import retrieval, texts
 from brindle.session import table
 
@@ -103,3 +103,10 @@ def test_group_split_keeps_families_whole(spark):
     assert len({(r.family, r.split) for r in got.values()}) == len({r.family for r in got.values()})
     parts = [r.split for r in {r.family: r for r in got.values()}.values()]
     assert abs(parts.count("x") - 0.6 * len(parts)) <= 1
+
+
+def test_values_too_large_are_kept(spark):
+    p = spark.createDataFrame([("a", "s", "It is 5 × 10^16 kg, 2 kg, then 1e400 kg."), ("b", "s", "4e15 mg")], "passage_id string, source_id string, text string")
+    u = spark.createDataFrame([("kg", "kg", "mass", "mg"), ("mg", "mg", "mass", "mg")], "alias string, unit string, dimension string, common_unit string")
+    assert sorted((r.value, r.value_milli, r.too_large) for r in units.quantities(p, u).collect()) == [(2.0, 2_000_000_000, False), (4e15, 4 * 10**18, False), (5e16, None, True), (float("inf"), None, True)]
+    assert {(r.passage_id, r.value_milli) for r in units.found(p, u).collect()} == {("a", 2_000_000_000), ("a", None), ("b", 4 * 10**18)}
