@@ -49,10 +49,13 @@ NUMBER_WORDS = {
 # Words that tell what a bare number measures.
 MEASURES = {
     "length": r"measures?|thick|long|wide|length|width|height|gap|mide|mesure|dick",
-    "mass": r"weighs?|lost|weigh out|pesa|pèse|wiegt",
-    "volume": r"add|rinse|holds|jar|añaden|ajoute|kommen",
-    "time": r"fix|healing|takes|live for|ruht|reposa|repose",
+    "mass": r"mass(?:es)?|weight|weighs?|lost|weigh out|pesa|pèse|wiegt",
+    "volume": r"volumes?|add|rinse|holds|jar|añaden|ajoute|kommen",
+    "time": r"duration|time|fix|healing|takes|live for|ruht|reposa|repose",
     "pressure": r"pressure|perfuse",
+    "dose": r"doses?|dosage|dosis",
+    "concentration": r"concentrations?|concentración|Konzentration",
+    "share": r"shares?|percentage|proportion|fraction",
 }
 MAX_ALIASES = 10_000
 CERTAIN = 0.9
@@ -108,18 +111,21 @@ class Reader:
         return self.units.get(a) or self.names.get(a.lower())
 
     def read(self, text: str) -> list[tuple[Fraction, tuple[str, str, str] | None, str, str]]:
-        """(value as written, unit, where the unit stands, words before and after) of every number."""
+        """(value as written, unit, where the unit stands, words before, words after and column heading
+        or line above a list, a line each) of every number."""
         t = readable(text)
         if not self.maybe.search(t):
             return []
         out: list = []
         columns: list | None = None
-        listed = None
+        heads: list[str] = []
+        listed, lead = None, ""
         for line in t.split("\n"):
             bar = line.strip()
             if bar.startswith("|") and bar.count("|") > 1:
                 cells = [c.strip() for c in bar.strip("|").split("|")]
                 if columns is None:
+                    heads = cells
                     columns = [self._of(self.header.search(c)) for c in cells]
                     if any(columns):
                         continue
@@ -127,13 +133,14 @@ class Reader:
                     m = self.bare.match(c)
                     if m and not set(c) <= set("-: "):
                         u = columns[k] if k < len(columns) else None
-                        out += [(value_of(m[g]), u, "column" if u else "none", "") for g in "ab" if m[g]]
+                        head = heads[k] if k < len(heads) and cells is not heads else ""
+                        out += [(value_of(m[g]), u, "column" if u else "none", "" if u else f"\n\n{head}") for g in "ab" if m[g]]
                     else:
                         self._inline(c, out)
                 continue
             columns = None
             if not bar:
-                listed = None
+                listed, lead = None, ""
                 continue
             if listed and re.match(r"[-*•·]\s|\d+[.)]\s", bar):
                 m = self.bare.match(bar.rsplit(":", 1)[1]) if ":" in bar else None
@@ -145,13 +152,15 @@ class Reader:
                 listed = self._of(m)
             elif not re.match(r"[-*•·]\s|\d+[.)]\s", bar):
                 listed = None
-            self._inline(line, out)
+            item = re.match(r"[-*•·]\s|\d+[.)]\s", bar)
+            self._inline(line, out, lead if item else "")
+            lead = lead if item else bar[-60:]
         return out
 
     def _of(self, m: re.Match | None) -> tuple[str, str, str] | None:
         return None if m is None else self.unit(next(x for x in m.groupdict().values() if x))
 
-    def _inline(self, line: str, out: list) -> None:
+    def _inline(self, line: str, out: list, lead: str = "") -> None:
         for m in self.quantity.finditer(line):
             u = self.unit(m["unit"]) if m["u"] else None
             if m["u"] and u is None:
@@ -160,7 +169,7 @@ class Reader:
                 continue
             near = line[max(0, m.start() - 60) : m.start()] if u is None else ""
             after = line[m.end() : m.end() + 30] if u is None else ""
-            out += [(value_of(m[g]), u, "follows" if u else "none", f"{near}\n{after}") for g in "ab" if m[g]]
+            out += [(value_of(m[g]), u, "follows" if u else "none", f"{near}\n{after}\n{lead}") for g in "ab" if m[g]]
 
 
 def _aliases(units: DataFrame) -> list[tuple[str, str, str | None, str | None]]:
@@ -184,7 +193,8 @@ MEASURE_PATTERN = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in MEASURES.ite
 def quantities(passages: DataFrame, units: DataFrame) -> DataFrame:
     """(passage_id, source_id, kind, unit, common_unit, where, value, value_milli, whole, too_large): a row for each number.
 
-    kind is the unit's dimension, or for a bare number what it measures, if the words before it tell; value is as
+    kind is the unit's dimension, or for a bare number what it measures, if the words before it, above it (heading of
+    the column, line above the list) or after it tell, else null; value is as
     written, value_milli in thousandths of the common unit; whole tells whether that needed no rounding."""
     aliases = _aliases(units)
     held = passages.sparkSession.sparkContext.broadcast(aliases)
@@ -200,10 +210,9 @@ def quantities(passages: DataFrame, units: DataFrame) -> DataFrame:
                         large = abs(round(x)) >= 1 << 63
                         row = (pid, sid, unit[1], unit[0], unit[2], where, _double(value), None if large else round(x), x.denominator == 1, large)
                     else:
-                        kind = next((k for k, p in MEASURE_PATTERN.items() if p.search(near.split("\n")[0][-40:])), None)
-                        if kind is None or not value or value >= 10**12:
-                            continue
-                        row = (pid, sid, kind, None, None, where, float(value), None, None, False)
+                        before, after, above = near.split("\n")
+                        kind = next((k for words in (before[-40:], above, after) for k, p in MEASURE_PATTERN.items() if p.search(words)), None)
+                        row = (pid, sid, kind, None, None, where, _double(value), None, None, False)
                     for c, v in zip(cols, row):
                         c.append(v)
             kinds = (pa.string(),) * 6 + (pa.float64(), pa.int64(), pa.bool_(), pa.bool_())
@@ -254,11 +263,12 @@ def fit_mixture(explicit: dict[str, np.ndarray], bare: np.ndarray, shift: dict[s
 
 
 def infer_units(passages: DataFrame, units: DataFrame) -> DataFrame:
-    """passage_id, source_id, kind, value, unit, common_unit, value_milli, posterior, uncertain: bare measured numbers
-    with the unit that the mixture gives them."""
+    """passage_id, source_id, kind, value, unit, common_unit, value_milli, posterior, uncertain: bare numbers with
+    the unit that the mixture gives them. One of unknown kind, of a kind without explicit quantities, of 0 or from 10^12 on
+    is in no mixture: it has no unit and is uncertain."""
     lo, bins = -8.0, 200
-    q = quantities(passages, units).withColumn("bin", F.least(F.greatest(F.floor((F.log10("value") - lo) / BIN), F.lit(0)), F.lit(bins - 1)).cast("int")).where("value > 0 AND NOT too_large")
-    hist = q.groupBy("kind", "unit", "common_unit", "bin").agg(F.count("*").alias("n")).collect()
+    q = quantities(passages, units).withColumn("bin", F.least(F.greatest(F.floor((F.log10("value") - lo) / BIN), F.lit(0)), F.lit(bins - 1)).cast("int")).where("NOT too_large")
+    hist = q.where("kind IS NOT NULL AND value > 0 AND (unit IS NOT NULL OR value < 1e12)").groupBy("kind", "unit", "common_unit", "bin").agg(F.count("*").alias("n")).collect()
     common = {r.kind: r.common_unit for r in hist if r.common_unit}
     rows = []
     for kind in sorted({r.kind for r in hist}):
@@ -277,5 +287,7 @@ def infer_units(passages: DataFrame, units: DataFrame) -> DataFrame:
             rows.append((kind, k, u, common[kind], float(p[:, k].max()), float(Fraction(PER_COMMON[u]))))
     table = passages.sparkSession.createDataFrame(rows, "kind string, bin int, unit string, common_unit string, posterior double, factor double")
     bare_rows = q.where("unit IS NULL").select("passage_id", "source_id", "kind", "value", "bin")
-    out = bare_rows.join(F.broadcast(table), ["kind", "bin"])  # at most kinds x bins rows
-    return out.select("passage_id", "source_id", "kind", "value", "unit", "common_unit", F.round(F.col("value") * F.col("factor") * 1000).cast("long").alias("value_milli"), "posterior", (F.col("posterior") < CERTAIN).alias("uncertain"))
+    fits = F.when((F.col("value") > 0) & (F.col("value") < 1e12), F.col("bin"))  # others are in no bin
+    out = bare_rows.withColumn("bin", fits).join(F.broadcast(table), ["kind", "bin"], "left")  # at most kinds x bins rows
+    milli = F.round(F.col("value") * F.col("factor") * 1000)
+    return out.select("passage_id", "source_id", "kind", "value", "unit", "common_unit", F.when(milli < 2.0**63, milli).cast("long").alias("value_milli"), "posterior", F.coalesce(F.col("posterior") < CERTAIN, F.lit(True)).alias("uncertain"))

@@ -110,3 +110,12 @@ def test_values_too_large_are_kept(spark):
     u = spark.createDataFrame([("kg", "kg", "mass", "mg"), ("mg", "mg", "mass", "mg")], "alias string, unit string, dimension string, common_unit string")
     assert sorted((r.value, r.value_milli, r.too_large) for r in units.quantities(p, u).collect()) == [(2.0, 2_000_000_000, False), (4e15, 4 * 10**18, False), (5e16, None, True), (float("inf"), None, True)]
     assert {(r.passage_id, r.value_milli) for r in units.found(p, u).collect()} == {("a", 2_000_000_000), ("a", None), ("b", 4 * 10**18)}
+
+
+def test_bare_numbers_are_inferred_or_flagged(spark):
+    rows = [(f"a{i}", "s", f"A dose of {10 + i % 7} mg/kg, {20 + i % 5} mg left.") for i in range(40)]
+    rows += [("c", "s", "| Mass | Other |\n| --- | --- |\n| 21 | 4 |"), ("d", "s", "We gave 12 as the dose."), ("e", "s", "Doses:\n- 13"), ("z", "s", "The mass was 0 or 5e12 there.")]
+    p = spark.createDataFrame(rows, "passage_id string, source_id string, text string")
+    u = spark.createDataFrame([("mg", "mg", "mass", "mg"), ("mg/kg", "mg/kg", "dose", "mg/kg")], "alias string, unit string, dimension string, common_unit string")
+    got = {(r.passage_id, r.value, r.unit, r.uncertain) for r in units.infer_units(p, u).where("passage_id NOT LIKE 'a%'").collect()}
+    assert got == {("c", 21.0, "mg", False), ("c", 4.0, None, True), ("d", 12.0, "mg/kg", False), ("e", 13.0, "mg/kg", False), ("z", 0.0, None, True), ("z", 5e12, None, True)}
