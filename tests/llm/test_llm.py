@@ -259,16 +259,62 @@ def test_recall_and_copies(spark):
     assert all(len(x.others) == 2 for x in three)
 
 
-def test_file_ranking_exact_within_radius():
-    r = np.random.default_rng(2)
-    v = r.normal(size=(300, 64))
-    p = neighbours.permutations(neighbours.unit(v), neighbours.unit(v[:20]).astype(np.float32))
-    q, b, s = neighbours.within(v, p, 5, radius=20)
+def clustered(n, seed, clusters=30, scale=0.25):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(clusters, 64))
+    return (c[r.integers(0, clusters, n)] + r.normal(scale=scale, size=(n, 64))).astype(np.float32)
+
+
+def test_footrule_by_common_bits():
+    u = neighbours.unit(clustered(90, 2)).astype(np.float32)
+    pivots, length, step = u[:20], 8, 2
+    code = neighbours.codes(u, pivots, length, step)
+    perm = neighbours.permutations(u, pivots, length)
+    weight = np.zeros((90, 20), int)
+    for i, row in enumerate(perm):
+        weight[i, row] = -(-(length - np.arange(length)) // step)
+    for i, j in ((0, 1), (5, 80), (33, 34)):
+        common = np.bitwise_count(code[:, i] & code[:, j]).sum()
+        footrule = np.abs(weight[i] - weight[j]).sum()
+        assert footrule == weight[i].sum() + weight[j].sum() - 2 * common
+    near = neighbours.nearest_by_footrule(code, 10, 20, 15)
+    for i, row in zip(range(10, 20), near):
+        score = np.minimum(weight[i], weight).sum(axis=1)
+        score[i] = 0
+        assert i not in row and sorted(score[row]) == sorted(score)[-15:]
+
+
+def test_ranking_in_a_file_keeps_within_its_memory():
+    import tracemalloc
+
+    v = clustered(neighbours.BLOCK, 3)
+    tracemalloc.start()
+    q, b, _ = neighbours.within(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
     u = neighbours.unit(v)
-    full = u @ u.T
-    np.fill_diagonal(full, -9)
-    for i in range(0, 300, 17):
-        assert set(b[q == i]) == set(np.argsort(-full[i])[:5])
+    hit = 0
+    for i in range(0, len(v), 100):
+        s = u @ u[i]
+        s[i] = -9
+        hit += len(set(b[q == i]) & set(np.argsort(-s)[:5]))
+    assert hit / (5 * len(v) / 100) > 0.9
+
+
+@pytest.mark.parametrize("n,args", [(1_000, {}), (3_000, {}), (9_000, {}), (6_000, {"n_pivots": 8, "block": 600})])
+def test_recall_at_sizes_and_levels(spark, n, args):
+    v = clustered(n, n)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vector_row long, vector array<float>")
+    got = {r.id: {o.id for o in r.others} for r in neighbours.neighbours(d, **args).collect()}
+    u = neighbours.unit(v)
+    hit = 0
+    ask = range(0, n, 10)
+    for i in ask:
+        s = u @ u[i]
+        s[i] = -9
+        hit += len(got[i] & set(np.argsort(-s)[:5]))
+    assert len(got) == n and hit / (5 * len(ask)) >= 0.95
 
 
 # ---- 8 packing
