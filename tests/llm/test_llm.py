@@ -156,13 +156,44 @@ def test_hot_band_is_split(spark):
         u = list(base)
         u[r.randrange(200)] = f"x{i}"
         rows.append((f"p{i:03}", " ".join(u)))
-    d = spark.createDataFrame(rows, "passage_id string, text string")
+    d = spark.createDataFrame(rows, "passage_id string, text string").repartition(60)  # no partition repeats a key ten times
     c = nearcopies.classes(d)
     whole = {(x.a, x.b) for x in nearcopies.class_pairs(c, 0.7).collect()}
     parts = {(x.a, x.b) for x in nearcopies.class_pairs(c, 0.7, group=10).collect()}
     assert whole == parts and len(whole) == 120 * 119 // 2
 
 
+def test_counters_count():
+    r = np.random.default_rng(6)
+    bits = r.random((100, 256)) < r.random(256)
+    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    c = nearcopies.Counters()
+    for k in range(0, 100, 16):
+        c.add(planes[k : k + 16])
+    for radius in (0, 3, 50, 64, 99, 200):
+        over = np.unpackbits(c.beyond(radius).view(np.uint8), bitorder="little").astype(bool)
+        assert (over == (bits.sum(axis=0) > radius)).all()
+
+
+def test_groups_recall_at_production_threshold(spark):
+    t = texts_with_edits(400, 11, [30, 60, 120])
+    d = spark.createDataFrame([(f"p{i:04}", x) for i, x in enumerate(t)], "passage_id string, text string")
+    s = [runs_of(x) for x in t]
+    of = collections.defaultdict(list)
+    for i, x in enumerate(s):
+        for run in x:
+            of[run].append(i)
+    near = {(a, b) for ks in of.values() for a in ks for b in ks if a < b}
+    want = {(a, b) for a, b in near if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.8}
+    g = {int(r.passage_id[1:]): r.group_id for r in nearcopies.groups(d).collect()}
+    assert len(want) > 300 and all(g[a] == g[b] for a, b in want)
+    group = collections.defaultdict(set)
+    for k, x in g.items():
+        group[x].add(k)
+    linked = collections.Counter(x for p in want for x in p)
+    assert all(len(m) == 1 or all(linked[k] for k in m) for m in group.values())
+
+
 # ---- 2 across splits
 def cases(spark, rows):
     return spark.createDataFrame(rows, "case_id string, partition string, question string, group_id string, paired_with string, part int")
