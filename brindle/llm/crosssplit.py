@@ -1,15 +1,19 @@
 """Problem 2: the same or nearly the same record in training and in an evaluation split.
 
-A question's plain words are cut into chunks by their content: a rolling hash runs over WINDOW words, and a chunk ends
-after every window whose hash is a multiple of DIVISOR, so that a chunk is DIVISOR windows long on average and an edit
-changes those near it only. Chunk digests are joined across the splits, the lengths of shared chunks are summed into
-overlap fractions, and every pair that shares a digest is measured exactly on its runs of three words.
-
-Which digests must be joined: a record of n windows that has a partner at threshold t keeps all but (1 - t) n of them,
-so all but allowed(n) of its chunks. Both records' allowed(n) + 1 rarest chunks then have one in common, and only
-those are joined; nothing is lost and template words that all questions share are hardly ever among them. Questions
-have some twenty words; a divisor above 1 leaves them so few chunks that an edit spoils most, hence DIVISOR is 1 here.
-Equal questions are one class before any join, and adaptive execution splits what is still hot.
+A question's plain words are cut into chunks by their content: a hash rolls over the words, and a chunk ends at every
+word whose hash is less than that of its REACH neighbours on either side. Chunks are about three words long; an edit
+changes those next to it only, and all before and after come out the same. Chunk digests are joined across the splits,
+the lengths of shared chunks are summed and divided by the length of each record, and a pair goes on whose lesser
+fraction is at least SHARE. An exact check on the runs of three words follows. The cutting is done with SEEDS different
+hashes, since an edit that spoils the chunks of one seldom spoils those of the other; how many pairs both miss is
+measured in tests/llm and given in the README.
+
+Which digests must be joined: with a record's chunks ordered by how many classes carry them, two records that share
+chunks of SHARE of their length share one of those before the last chunks that together are shorter than SHARE. Only
+those are joined, so that template words that all questions share are hardly ever among them. A digest that more than
+HOT classes carry is not joined alone: the pair must share a second chunk (unless the one is SHARE of the record by
+itself), so the digest is joined together with each other chunk that could be the next of the shared ones. Nothing is
+lost by either. Equal questions are one class before any join, and adaptive execution splits what is still hot.
 
 Defined results: rows without id or question take part in nothing; partition ignores case and outer blanks, anything
 but training, development and final is none of them; a case delivered twice counts once; questions without any word
@@ -27,10 +31,11 @@ from pyspark.sql import functions as F
 
 from brindle.session import spread, written
 
-from .words import grid, plain, runs, text_hashes
+from .words import grid, mix, plain, runs, text_hashes
 
-THRESHOLD = 0.7
-WINDOW, DIVISOR = 3, 1
+THRESHOLD, SHARE = 0.7, 0.5
+SEEDS, REACH = (7, 11), 1
+HOT = 24
 
 
 def partition_of(col: Column) -> Column:
@@ -38,83 +43,129 @@ def partition_of(col: Column) -> Column:
     return F.when(p.isin("training", "development", "final"), p)
 
 
-def cut(words: np.ndarray, at: np.ndarray, window: int = WINDOW, divisor: int = DIVISOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest and length (in windows) of every chunk, and where each text's chunks begin."""
-    roll, to = runs(words, at, window)
-    last = roll % np.uint64(divisor) == 0
-    last[to[1:] - 1] = True
+def cut(words: np.ndarray, at: np.ndarray, seed: int = 7, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest and length (in words) of every chunk, and where each text's chunks begin; a text without words has none."""
+    roll = mix(words + np.uint64(seed))
+    last = np.ones(len(words), bool)
+    for d in range(1, reach + 1):
+        less = roll[d:] < roll[:-d]
+        last[d:] &= less
+        last[:-d] &= ~less
+    last[at[1:][np.diff(at) > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
-    start = np.concatenate([[0], stop[:-1]]).astype(np.int64) if len(stop) else np.empty(0, np.int64)
-    digest = text_hashes(roll, np.concatenate([[0], stop]).astype(np.int64)) if len(stop) else np.empty(0, np.uint64)
-    return digest, stop - start, np.concatenate([[0], np.searchsorted(stop, to[1:], "right")]).astype(np.int64)
-
-
-def allowed(n: int, threshold: float, divisor: int = DIVISOR) -> int:
-    """Chunks that a record of n windows may lose to a partner at the threshold; a window that ends a chunk spoils two."""
-    return int((1 - threshold) * n + 1e-9) * (1 if divisor == 1 else 2)
-
-
-def _features(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
-                words, at = grid([plain(t) for t in part.column(2).to_pylist()])
-                h, to = runs(words, at)
-                digest, length, of = cut(words, at)
-                digest = digest.view(np.int64)
-                h = h.view(np.int64)
-                sets = [np.unique(h[to[i] : to[i + 1]]) for i in range(part.num_rows)]
-                chunks = [dict(zip(digest[of[i] : of[i + 1]].tolist(), length[of[i] : of[i + 1]].tolist())) or {0: 0} for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(text_hashes(words, at).view(np.int64)),
-                     pa.array([list(c) for c in chunks], pa.list_(pa.int64())), pa.array([list(c.values()) for c in chunks], pa.list_(pa.int32())),
-                     pa.array(sets, pa.list_(pa.int64())), pa.array([allowed(len(x), threshold) + 1 for x in sets], pa.int32())],
-                    names=["id", "part", "cls", "chunks", "lengths", "runs", "prefix"],
-                )
-
-    return run
-
-
-def records(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    ends = np.concatenate([[0], stop]).astype(np.int64)
+    digest = mix(text_hashes(words, ends) + np.uint64(seed)) if len(stop) else np.empty(0, np.uint64)
+    return digest, np.diff(ends), np.searchsorted(stop, at, "right").astype(np.int64)
+
+
+def _lists(values: np.ndarray, of: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(values))
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s in range(0, b.num_rows, 2000):
+            part = b.slice(s, 2000)
+            words, at = grid([plain(t) for t in part.column(2).to_pylist()])
+            h, to = runs(words, at)
+            h = h.view(np.int64)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(to))
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
+            sets = _lists(h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=part.num_rows))]))
+            cols, names = [], []
+            for k, seed in enumerate(SEEDS):
+                digest, length, of = cut(words, at, seed)
+                cols += [_lists(digest.view(np.int64), of), _lists(length.astype(np.int32), of)]
+                names += [f"digests{k}", f"lengths{k}"]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(text_hashes(words, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32)), *cols, sets],
+                names=["id", "part", "cls", "words", *names, "runs"],
+            )
+
+
+def records(df: DataFrame) -> DataFrame:
     """Written table of the split records with their features."""
     src = df.select(F.col("case_id").cast("string").alias("id"), partition_of(F.col("partition")).alias("part"), F.col("question").alias("q"))
     src = src.where("id IS NOT NULL AND part IS NOT NULL AND q IS NOT NULL").distinct()
-    schema = "id string, part string, cls long, chunks array<long>, lengths array<int>, runs array<long>, prefix int"
-    return written(spread(src).mapInArrow(_features(threshold), schema))
+    chunks = ", ".join(f"digests{k} array<long>, lengths{k} array<int>" for k in range(len(SEEDS)))
+    return written(spread(src).mapInArrow(_features, f"id string, part string, cls long, words int, {chunks}, runs array<long>"))
+
+
+def join_keys(words: np.ndarray, of: np.ndarray, digest: np.ndarray, length: np.ndarray, carried: np.ndarray, share: float = SHARE, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which records must be joined, and the record of each. Record i has words[i] words and the shared
+    chunks from of[i] to of[i + 1]; carried tells how many classes carry a chunk. Chunks that are in one split only
+    are not given; they are the rarest."""
+    n = len(words)
+    owner = np.repeat(np.arange(n), np.diff(of))
+    order = np.lexsort((digest, carried, owner))
+    digest, length, carried = digest[order], length[order].astype(np.int64), carried[order]
+    total = np.concatenate([[0], np.cumsum(length)])
+    left = total[of[1:]][owner] - total[:-1]  # this chunk and the more frequent ones
+    need = share * words[owner] - 1e-9
+    head = left >= need
+    alone = head & ((carried <= hot) | (length >= need))
+    keys, rows = [digest[alone]], [owner[alone]]
+    first = np.flatnonzero(head & (carried > hot))
+    count = of[1:][owner[first]] - first - 1
+    x = np.repeat(first, count)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+    fit = left[y] >= need[x] - length[x]
+    x, y = x[fit], y[fit]
+    keys.append(mix(digest[x].view(np.uint64) * np.uint64(31) + digest[y].view(np.uint64)).view(np.int64))
+    rows.append(owner[x])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        chunks = b.column(3)
+        flat = chunks.flatten()
+        of = chunks.offsets.to_numpy()
+        of = of - of[0]
+        key, row = join_keys(b.column(4).to_numpy(), of, *(flat.field(i).to_numpy() for i in range(3)))
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(i).take(at) for i in range(3))], names=["key", "cls", "train", "eval"])
 
 
 def class_overlaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, chunk_overlap, overlap): training class a and evaluation class b, both questions' words, at the threshold
-    or above; a = b where the questions are equal. chunk_overlap is the shared chunks' length over the shorter record."""
-    cls = rows.groupBy("cls").agg(
-        F.bool_or(F.col("part") == "training").alias("train"), F.bool_or(F.col("part") != "training").alias("eval"),
-        F.first("chunks").alias("chunks"), F.first("lengths").alias("lengths"), F.first("runs").alias("runs"), F.first("prefix").alias("prefix"),
-    )
-    each = cls.select("cls", "train", "eval", "prefix", F.explode("chunks").alias("digest"))
-    df_ = each.groupBy("digest").agg(F.count("*").alias("df"), F.bool_or("train").alias("t"), F.bool_or("eval").alias("e"))
-    ranked = each.join(df_, "digest").groupBy("cls").agg(
-        F.first("train").alias("train"), F.first("eval").alias("eval"), F.first("prefix").alias("prefix"),
-        F.array_sort(F.collect_list(F.struct("df", "digest", (F.col("t") & F.col("e")).alias("both")))).alias("all"),
+    or above; a = b where the questions are equal. chunk_overlap is the shared chunks' length over that of the longer
+    record, by the hash that gives more."""
+    feature = [f"{name}{k}" for k in range(len(SEEDS)) for name in ("digests", "lengths")]
+    cls = written(
+        rows.groupBy("cls").agg(
+            F.bool_or(F.col("part") == "training").alias("train"), F.bool_or(F.col("part") != "training").alias("eval"),
+            *(F.first(c).alias(c) for c in ("words", *feature, "runs")),
+        )
     )
-    head = ranked.select("cls", "train", "eval", F.explode(F.slice("all", 1, F.col("prefix"))).alias("c")).where("c.both")
-    a = head.where("train").select(F.col("c.digest").alias("digest"), F.col("cls").alias("a"))
-    b = head.where("eval").select(F.col("c.digest").alias("digest"), F.col("cls").alias("b"))
-    pairs = a.join(b, "digest").select("a", "b").distinct()
-    x = cls.select(F.col("cls").alias("a"), F.arrays_zip("chunks", "lengths").alias("ca"), F.col("runs").alias("ra"))
-    y = cls.select(F.col("cls").alias("b"), F.arrays_zip("chunks", "lengths").alias("cb"), F.col("runs").alias("rb"))
+    each = None
+    for k in range(len(SEEDS)):
+        one = cls.select("cls", "train", "eval", "words", F.lit(k).alias("seed"), F.explode(F.arrays_zip(f"digests{k}", f"lengths{k}")).alias("c"))
+        one = one.select("cls", "train", "eval", "words", "seed", F.col(f"c.digests{k}").alias("digest"), F.col(f"c.lengths{k}").alias("length"))
+        each = one if each is None else each.unionByName(one)
+    carried = each.groupBy("digest").agg(F.count("*").cast("int").alias("carried"), F.bool_or("train").alias("t"), F.bool_or("eval").alias("e")).where("t AND e").select("digest", "carried")
+    shared = each.join(carried, "digest").groupBy("cls", "seed", "train", "eval", "words").agg(F.collect_list(F.struct("digest", "length", "carried")).alias("chunks"))
+    head = shared.select("cls", "train", "eval", "chunks", "words").mapInArrow(_keys, "key long, cls long, train boolean, eval boolean")
+    a, b = head.where("train").select("key", F.col("cls").alias("a")), head.where("eval").select("key", F.col("cls").alias("b"))
+    pairs = a.join(b, "key").where("a <> b").select("a", "b").distinct()
+    zipped = [F.arrays_zip(f"digests{k}", f"lengths{k}") for k in range(len(SEEDS))]
+    x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(z.alias(f"ca{k}") for k, z in enumerate(zipped)), F.col("runs").alias("ra"))
+    y = cls.select(F.col("cls").alias("b"), F.col("words").alias("wb"), *(z.alias(f"cb{k}") for k, z in enumerate(zipped)), F.col("runs").alias("rb"))
     m = pairs.join(x, "a").join(y, "b")
-    total = "aggregate({0}, 0L, (s, z) -> s + z.lengths)"
-    shared = "aggregate(array_intersect(ca, cb), 0L, (s, z) -> s + z.lengths)"
-    m = m.withColumn("chunk_overlap", F.expr(f"coalesce(try_divide({shared}, least({total.format('ca')}, {total.format('cb')})), 1D)"))
+    longer = F.greatest("wa", "wb")
+    fractions = [F.expr(f"aggregate(array_intersect(ca{k}, cb{k}), 0L, (s, z) -> s + z.lengths{k})") / longer for k in range(len(SEEDS))]
+    m = m.withColumn("chunk_overlap", F.greatest(*fractions) if len(fractions) > 1 else fractions[0]).where(F.col("chunk_overlap") >= SHARE)
     m = m.withColumn("common", F.size(F.array_intersect("ra", "rb")))
     m = m.withColumn("overlap", F.col("common") / (F.size("ra") + F.size("rb") - F.col("common")))
-    return m.where(F.col("overlap") >= threshold).select("a", "b", "chunk_overlap", "overlap")
+    near = m.where(F.col("overlap") >= threshold).select("a", "b", "chunk_overlap", "overlap")
+    return near.unionByName(cls.where("train AND eval").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("chunk_overlap"), F.lit(1.0).alias("overlap")))
 
 
 def cross_pairs(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """train_id, eval_id, eval_part, chunk_overlap, overlap for every such pair of cases."""
-    rows = records(df, threshold)
+    rows = records(df)
     pairs = class_overlaps(rows, threshold)
     member = rows.select("id", "part", "cls").distinct()
     t = member.where("part = 'training'").select(F.col("id").alias("train_id"), F.col("cls").alias("a"))

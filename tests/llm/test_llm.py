@@ -215,11 +215,57 @@ def test_cross_pairs_against_brute_force(spark):
     assert rep[0] == len(want)
 
 
-def test_coarser_chunks_cover_the_text():
-    w, at = words.grid(["a b c d e f g h i j", "", "x"])
-    for divisor in (1, 2, 4):
-        d, n, of = crosssplit.cut(w, at, 3, divisor)
-        assert len(d) == len(n) == of[-1] and [n[of[i] : of[i + 1]].sum() for i in range(3)] == [8, 1, 1]
+def test_chunks_cover_the_text_and_move_with_it():
+    w, at = words.grid(["a b c d e f g h i j", "", "x", "new words in front a b c d e f g h i j"])
+    for reach in (1, 2, 3):
+        d, n, of = crosssplit.cut(w, at, 7, reach)
+        assert len(d) == len(n) == of[-1] and [n[of[i] : of[i + 1]].sum() for i in range(4)] == [10, 0, 1, 14]
+        first, last = d[of[0] : of[1]].tolist(), d[of[3] : of[4]].tolist()
+        assert len(first) > 1 and first[1:] == last[-len(first) + 1 :]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_join_keys_lose_no_pair(hot):
+    r = random.Random(hot)
+    records = []
+    for _ in range(150):
+        chunks = {r.choice([r.randrange(6), r.randrange(60)]): 0 for _ in range(r.randint(1, 7))}
+        records.append({c: 1 + c % 4 for c in chunks})
+    n = collections.Counter(c for x in records for c in x)
+    total = np.array([sum(x.values()) for x in records], np.int32)
+    of = np.concatenate([[0], np.cumsum([len(x) for x in records])])
+    flat = [(c, k, n[c]) for x in records for c, k in x.items()]
+    key, row = crosssplit.join_keys(total, of, *(np.array(c, np.int64) for c in zip(*flat)), 0.5, hot)
+    keys = collections.defaultdict(set)
+    for k, i in zip(key.tolist(), row.tolist()):
+        keys[i].add(k)
+    for i in range(150):
+        for j in range(i):
+            if sum(k for c, k in records[i].items() if c in records[j]) >= 0.5 * max(total[i], total[j]):
+                assert keys[i] & keys[j]
+
+
+def test_recall_of_chunks_against_brute_force(spark):
+    r = random.Random(8)
+    stems = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rstv"]
+    rows = []
+    for i in range(1500):  # templates with three changing words, then up to three edits
+        a, b, c = r.sample(stems, 3)
+        t = r.choice([f"how does the {a} of the {b} specimen change when cells leave the {c} margin after injury", f"explain why {a} fails in the {b} model although the border and the {c} rim stay branched", f"compare the {a} of the {b} region with that of the {c} region in the adult"]).split()
+        rows.append((f"a{i}", "training", " ".join(t), None, None, 1))
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(t))
+            t[k : k + 1] = r.choice([[], [r.choice(stems)], [t[k], r.choice(stems)]])
+        rows.append((f"b{i}", r.choice(["final", "development"]), " ".join(t), None, None, 1))
+    got = {tuple(x) for x in crosssplit.found(cases(spark, rows)).collect()}
+    of = collections.defaultdict(lambda: ([], []))
+    s = {x[0]: runs_of(x[2]) for x in rows}
+    for k, x in s.items():
+        for run in x:
+            of[run][k[0] == "b"].append(k)
+    near = {(x, y) for a, b in of.values() for x in a for y in b}
+    want = {(x, y) for x, y in near if len(s[x] & s[y]) / len(s[x] | s[y]) >= 0.7}
+    assert got <= want and len(got) >= 0.99 * len(want) > 600
 
 
 # ---- 7 related records
