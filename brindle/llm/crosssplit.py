@@ -2,10 +2,10 @@
 
 A question's plain words are cut into chunks by their content: a hash rolls over the words, and a chunk ends at every
 word whose hash is less than that of its REACH neighbours on either side. Chunks are about three words long; an edit
-changes those next to it only, and all before and after come out the same. Chunk digests are joined across the splits,
+changes those next to it only, and all before and after come out the same. A chunk is also ended at LONGEST words. Chunk digests are joined across the splits,
 the lengths of shared chunks are summed and divided by the length of each record, and a pair goes on whose lesser
 fraction is at least SHARE. An exact check on the runs of three words follows. The cutting is done with SEEDS different
-hashes, since an edit that spoils the chunks of one seldom spoils those of the other; how many pairs both miss is
+hashes, since an edit that spoils the chunks of one seldom spoils those of the others; how many pairs all miss is
 measured in tests/llm and given in the README.
 
 Which digests must be joined: with a record's chunks ordered by how many classes carry them, two records that share
@@ -33,9 +33,9 @@ from brindle.session import spread, written
 
 from .words import grid, mix, plain, runs, text_hashes
 
-THRESHOLD, SHARE = 0.7, 0.5
-SEEDS, REACH = (7, 11), 1
-HOT = 24
+THRESHOLD, SHARE = 0.7, 0.6
+SEEDS, REACH, LONGEST = (7, 11, 13, 17), 1, 4
+HOT = 8
 
 
 def partition_of(col: Column) -> Column:
@@ -47,14 +47,21 @@ def cut(words: np.ndarray, at: np.ndarray, seed: int = 7, reach: int = REACH) ->
     """Digest and length (in words) of every chunk, and where each text's chunks begin; a text without words has none."""
     roll = mix(words + np.uint64(seed))
     last = np.ones(len(words), bool)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for d in range(1, reach + 1):
+        apart = text[d:] != text[:-d]
         less = roll[d:] < roll[:-d]
-        last[d:] &= less
-        last[:-d] &= ~less
+        last[d:] &= less | apart
+        last[:-d] &= ~less | apart
     last[at[1:][np.diff(at) > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
+    start = np.concatenate([[0], stop[:-1]])[: len(stop)]
+    inside = np.arange(len(words)) - np.repeat(start, stop - start)
+    last |= inside % LONGEST == LONGEST - 1
+    stop = np.flatnonzero(last) + 1
     ends = np.concatenate([[0], stop]).astype(np.int64)
     digest = mix(text_hashes(words, ends) + np.uint64(seed)) if len(stop) else np.empty(0, np.uint64)
+    digest = digest & ~np.uint64(7) | np.diff(ends).astype(np.uint64)  # the length can be read from the digest
     return digest, np.diff(ends), np.searchsorted(stop, at, "right").astype(np.int64)
 
 
@@ -76,9 +83,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = _lists(h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=part.num_rows))]))
             cols, names = [], []
             for k, seed in enumerate(SEEDS):
-                digest, length, of = cut(words, at, seed)
-                cols += [_lists(digest.view(np.int64), of), _lists(length.astype(np.int32), of)]
-                names += [f"digests{k}", f"lengths{k}"]
+                digest, _, of = cut(words, at, seed)
+                cols.append(_lists(digest.view(np.int64), of))
+                names.append(f"digests{k}")
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(text_hashes(words, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32)), *cols, sets],
                 names=["id", "part", "cls", "words", *names, "runs"],
@@ -89,7 +96,7 @@ def records(df: DataFrame) -> DataFrame:
     """Written table of the split records with their features."""
     src = df.select(F.col("case_id").cast("string").alias("id"), partition_of(F.col("partition")).alias("part"), F.col("question").alias("q"))
     src = src.where("id IS NOT NULL AND part IS NOT NULL AND q IS NOT NULL").distinct()
-    chunks = ", ".join(f"digests{k} array<long>, lengths{k} array<int>" for k in range(len(SEEDS)))
+    chunks = ", ".join(f"digests{k} array<long>" for k in range(len(SEEDS)))
     return written(spread(src).mapInArrow(_features, f"id string, part string, cls long, words int, {chunks}, runs array<long>"))
 
 
@@ -133,30 +140,27 @@ def class_overlaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, chunk_overlap, overlap): training class a and evaluation class b, both questions' words, at the threshold
     or above; a = b where the questions are equal. chunk_overlap is the shared chunks' length over that of the longer
     record, by the hash that gives more."""
-    feature = [f"{name}{k}" for k in range(len(SEEDS)) for name in ("digests", "lengths")]
+    digests = [f"digests{k}" for k in range(len(SEEDS))]
     cls = written(
         rows.groupBy("cls").agg(
             F.bool_or(F.col("part") == "training").alias("train"), F.bool_or(F.col("part") != "training").alias("eval"),
-            *(F.first(c).alias(c) for c in ("words", *feature, "runs")),
+            *(F.first(c).alias(c) for c in ("words", *digests, "runs")),
         )
     )
     each = None
-    for k in range(len(SEEDS)):
-        one = cls.select("cls", "train", "eval", "words", F.lit(k).alias("seed"), F.explode(F.arrays_zip(f"digests{k}", f"lengths{k}")).alias("c"))
-        one = one.select("cls", "train", "eval", "words", "seed", F.col(f"c.digests{k}").alias("digest"), F.col(f"c.lengths{k}").alias("length"))
+    for k, d in enumerate(digests):
+        one = cls.select("cls", "train", "eval", "words", F.lit(k).alias("seed"), F.explode(F.array_distinct(d)).alias("digest"))
         each = one if each is None else each.unionByName(one)
     carried = each.groupBy("digest").agg(F.count("*").cast("int").alias("carried"), F.bool_or("train").alias("t"), F.bool_or("eval").alias("e")).where("t AND e").select("digest", "carried")
-    shared = each.join(carried, "digest").groupBy("cls", "seed", "train", "eval", "words").agg(F.collect_list(F.struct("digest", "length", "carried")).alias("chunks"))
+    shared = each.join(carried, "digest").groupBy("cls", "seed", "train", "eval", "words").agg(F.collect_list(F.struct("digest", F.col("digest").bitwiseAND(7).alias("length"), "carried")).alias("chunks"))
     head = shared.select("cls", "train", "eval", "chunks", "words").mapInArrow(_keys, "key long, cls long, train boolean, eval boolean")
     a, b = head.where("train").select("key", F.col("cls").alias("a")), head.where("eval").select("key", F.col("cls").alias("b"))
     pairs = a.join(b, "key").where("a <> b").select("a", "b").distinct()
-    zipped = [F.arrays_zip(f"digests{k}", f"lengths{k}") for k in range(len(SEEDS))]
-    x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(z.alias(f"ca{k}") for k, z in enumerate(zipped)), F.col("runs").alias("ra"))
-    y = cls.select(F.col("cls").alias("b"), F.col("words").alias("wb"), *(z.alias(f"cb{k}") for k, z in enumerate(zipped)), F.col("runs").alias("rb"))
+    x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(F.col(d).alias(f"ca{k}") for k, d in enumerate(digests)), F.col("runs").alias("ra"))
+    y = cls.select(F.col("cls").alias("b"), F.col("words").alias("wb"), *(F.col(d).alias(f"cb{k}") for k, d in enumerate(digests)), F.col("runs").alias("rb"))
     m = pairs.join(x, "a").join(y, "b")
-    longer = F.greatest("wa", "wb")
-    fractions = [F.expr(f"aggregate(array_intersect(ca{k}, cb{k}), 0L, (s, z) -> s + z.lengths{k})") / longer for k in range(len(SEEDS))]
-    m = m.withColumn("chunk_overlap", F.greatest(*fractions) if len(fractions) > 1 else fractions[0]).where(F.col("chunk_overlap") >= SHARE)
+    shared = [F.expr(f"aggregate(array_intersect(ca{k}, cb{k}), 0L, (s, z) -> s + (z & 7))") for k in range(len(SEEDS))]
+    m = m.withColumn("chunk_overlap", F.greatest(*shared, F.lit(0)) / F.greatest("wa", "wb")).where(F.col("chunk_overlap") >= SHARE)
     m = m.withColumn("common", F.size(F.array_intersect("ra", "rb")))
     m = m.withColumn("overlap", F.col("common") / (F.size("ra") + F.size("rb") - F.col("common")))
     near = m.where(F.col("overlap") >= threshold).select("a", "b", "chunk_overlap", "overlap")
