@@ -68,6 +68,26 @@ def test_not_alike(a, b):
     assert canonical.consistent(a) != canonical.consistent(b)
 
 
+def test_form_is_closed_under_canonical_equivalence():
+    import unicodedata
+
+    form = canonical.transducer()
+    for code in [*range(0xD800), *range(0xE000, 0x110000)]:
+        for x in (chr(code), f"a{chr(code)}b"):
+            f = form(x)
+            assert f == form(unicodedata.normalize("NFC", x)) == form(unicodedata.normalize("NFD", x)) == form(f), hex(code)
+
+
+@pytest.mark.parametrize("a,b", [("\u1100\u1161\u11a8", "\uac01"), ("\u1100\u200b\u1161", "\uac00"), ("\uff76\uff9e", "\u30ac"), ("\u2163", "IV"), ("\u0585", "o"), ("q\u0307\u0323", "q\u0323\u0307"), ("\u0410\u030a", "\u00c5")])
+def test_scripts_and_orders(a, b):
+    assert canonical.consistent(a) == canonical.consistent(b)
+
+
+def test_copies_of_a_spelling_never_meet(spark):
+    d = spark.createDataFrame([(f"a{i}", "name", 1) for i in range(30)] + [(f"b{i}", "nаme", 1) for i in range(2)] + [("c", "nаmе", 1)], "passage_id string, text string, form int")
+    assert canonical.lookalike_pairs(d, "passage_id", "text").count() == 30 * 2 + 30 + 2
+
+
 def test_form_is_stable_and_checked():
     for s in canonical.rules():
         f = canonical.consistent(s)
