@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from brindle.functions.lookalikes import CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, OTHER_LOOKALIKES, SCRIPT_LOOKALIKES
-from brindle.session import spread
+from brindle.session import spread, written
 
 LINE_ENDS = {"\r\n": "\n", "\r": "\n", chr(0x85): "\n", chr(0x2028): "\n", chr(0x2029): "\n"}
 #: Not drawn, though not of category Cf: the grapheme joiner, Hangul fillers, variation selectors.
@@ -131,9 +131,9 @@ class Transducer:
         cluster = f"[^{marks}{undrawn}]?(?:[{undrawn}]*[{marks}])+"
         basic = _ranges("".join(s for s in mapping if len(s) == 1 and s < "\U00010000"))
         # A class first, and one within the basic plane: the engine then has a table for it and skips to its next match.
-        self.plain = re.compile(f"[{basic}][{basic}]*").sub
+        self.plain = re.compile(f"[{basic}][{basic}]*")
         self.rare = re.compile(f"[{marks}\U00010000-\U0010ffff]").search
-        self.marked = re.compile(f"{cluster}|[{chars}]+").sub
+        self.marked = re.compile(f"{cluster}|[{chars}]+")
         self.seen: dict[str, str] = {}
 
     def _form(self, match: re.Match) -> str:
@@ -150,10 +150,18 @@ class Transducer:
                 self.seen[s] = t
         return t
 
+    def matches(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(begin, end, form) of every part that is not copied as it is; the same parts as in a call."""
+        for m in self.pattern(text).finditer(text):
+            yield m.start(), m.end(), self._form(m)
+
+    def pattern(self, text: str) -> re.Pattern:
+        return self.marked if self.rare(text) else self.plain
+
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-        return (self.marked if self.rare(text) else self.plain)(self._form, text)
+        return self.pattern(text).sub(self._form, text)
 
 
 @cache
@@ -203,9 +211,9 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
     src = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
     rows = spread(src).mapInArrow(digests, out).distinct()
-    spellings = rows.select("form", "spelling").distinct()
-    mixed = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    few = spellings.join(mixed, "form", "left_semi")
+    mixed = rows.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo < hi").select("form")
+    rows = written(rows.join(mixed, "form", "left_semi"))
+    few = rows.select("form", "spelling").distinct()
     ways = few.select("form", F.col("spelling").alias("sa")).join(few.select("form", F.col("spelling").alias("sb")), "form").where("sa < sb").select("sa", "sb")
     a, b = rows.select(F.col("spelling").alias("sa"), F.col("k").alias("ka")), rows.select(F.col("spelling").alias("sb"), F.col("k").alias("kb"))
     hit = ways.join(a, "sa").join(b, "sb").where("ka <> kb")

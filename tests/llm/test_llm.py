@@ -494,9 +494,20 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(x) for x in leaks.find_leaks(d, it, max_grams=0).collect()} == want
     gone = {x.doc_id: x for x in leaks.remove_leaks(d, it).collect()}
     assert set(gone) == {a for a, _ in want} and all(10 <= x.leaked_words <= x.words for x in gone.values())
+    assert {tuple(x) for x in leaks.remove_leaks(d, it, max_grams=0).collect()} == {tuple(x) for x in gone.values()}
+    assert leaks.find_leaks(leaks.remove_leaks(d, it), it).count() == 0
     assert leaks.find_leaks(d.limit(0), it).count() == 0 and leaks.find_leaks(d, it.limit(0)).count() == 0
 
 
+def test_spans_are_cut_from_the_stored_text():
+    t = "Кeep THIS, then: Ｏne two\u200b three; f\u00e9ur fe\u0301ur!  Stay \u2014 Here\r\n\u00cfx."
+    w = [t[a:b] for a, b in leaks.word_places(t)]
+    assert w == ["Кeep", "THIS", "then", "Ｏne", "two", "three", "f\u00e9ur", "fe\u0301ur", "Stay", "Here", "\u00cfx"]
+    assert leaks.without(t, np.array([3, 4]), 3)[1:] == (11, 4)
+    assert leaks.without(t, np.array([3, 4]), 3)[0] == "Кeep THIS, then: fe\u0301ur!  Stay \u2014 Here\r\n\u00cfx."
+    assert leaks.without("a b c d", np.array([2]), 2)[0] == "a b " and leaks.without("a b c d", np.array([0]), 4) == ("", 4, 4)
+
+
 # ---- 10 abuse
 def test_gradient():
     r = np.random.default_rng(0)
