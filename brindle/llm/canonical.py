@@ -132,7 +132,9 @@ class Transducer:
         basic = _ranges("".join(s for s in mapping if len(s) == 1 and s < "\U00010000"))
         # A class first, and one within the basic plane: the engine then has a table for it and skips to its next match.
         self.plain = re.compile(f"[{basic}][{basic}]*")
-        self.rare = re.compile(f"[{marks}\U00010000-\U0010ffff]").search
+        # In two: the engine has a table for a class within the basic plane, and one comparison for the other planes.
+        self.basic_mark = re.compile(f"[{_ranges(''.join(c for c in attaching() if c < chr(0x10000)))}]").search
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.marked = re.compile(f"{cluster}|[{chars}]+")
         self.seen: dict[str, str] = {}
 
@@ -156,7 +158,7 @@ class Transducer:
             yield m.start(), m.end(), self._form(m)
 
     def pattern(self, text: str) -> re.Pattern:
-        return self.marked if self.rare(text) else self.plain
+        return self.marked if self.basic_mark(text) or self.beyond(text) else self.plain
 
     def __call__(self, text: str) -> str:
         if text.isascii():
