@@ -95,7 +95,8 @@ def split_passages(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
         f"concat(tails[i], {shown}) AS text)"
     )
     one = b.withColumn("made", F.expr(f"transform(bodies, (x, i) -> {piece})")).withColumn("pieces", F.size("bodies"))
-    one = one.select("passage_id", "pieces", "section_path_json", "heading", "source_id", "source_version", F.posexplode("made").alias("i", "p"))
+    # Outer, though there is always a piece: else a filter on the array's size is inferred and everything worked out again in it.
+    one = one.select("passage_id", "pieces", "section_path_json", "heading", "source_id", "source_version", F.posexplode_outer("made").alias("i", "p"))
     one = one.select(*(c for c in one.columns if c not in ("i", "p")), (F.col("i") + 1).alias("piece"), "p.*")
     covered = F.expr("transform(filter(near, x -> x.start < body_end AND (x.end > piece_start OR x.start = x.end AND x.start >= piece_start)), x -> struct(x.id AS id, greatest(piece_start - x.start, 0) AS start, least(body_end, x.end) - x.start AS end))")
     return one.select(

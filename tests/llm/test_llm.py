@@ -37,7 +37,11 @@ def test_pieces_round_trip(spark):
         for a, b in zip(p, p[1:]):
             assert b.body_start == a.body_end and b.piece_start <= b.body_start
             whole = t[b.body_start : b.body_end].removesuffix("\n\n")
-            assert b.body_start - b.piece_start == min(overlap, limit - len(whole), b.body_start)
+            most = min(overlap, limit - len(whole), a.body_end - a.body_start)
+            assert b.overlap == b.body_start - b.piece_start <= most
+            if b.overlap < most:  # less only by the rest of a word or by marks
+                lost = t[b.body_start - most : b.piece_start]
+                assert not lost.rstrip() or not t[b.body_start - most - 1].isspace() and len(lost.split()) == 1
         for x in p:
             assert len(x.text) <= limit and x.text == t[x.piece_start : x.body_end].removesuffix("\n\n") or len(t) <= limit
             assert x.section_path_json == '["A"]'
@@ -51,6 +55,16 @@ def test_pieces_cut_at_pauses(spark):
     assert ids[0].blocks[0].id == "x-b1" and ids[1].blocks[-1].id == "x-b2"
 
 
+def test_pieces_of_a_very_long_text(spark):
+    import time
+
+    t = ("word and so on. " * 50 + "\n\n") * 6000
+    began = time.time()
+    got = pieces.split_passages(passages(spark, [t])).agg(F.count("*").alias("n"), F.max("pieces").alias("p"), F.sum(F.length("text") - F.col("overlap")).alias("c"), F.max(F.size("blocks")).alias("b"), F.max(F.length("text")).alias("m")).first()
+    assert got.n == got.p == 6000 and got.c == 800 * 6000 and got.b <= 2 and got.m <= pieces.LIMIT
+    assert time.time() - began < 60  # quadratic work would take many minutes
+
+
 def test_pieces_found(spark):
     got = {r.passage_id: r.cut for r in pieces.found(passages(spark, ["a" * 1200, "a" * 1201, "a" * 1000 + "\n\n" + "b" * 1000, None, ""])).collect()}
     assert got == {"p1": "inside", "p2": "block"}
