@@ -6,11 +6,11 @@ letters and single letters parted by hyphens undone; so spellings that hide a wo
 recurrent layers run over a window, one each way, attention pools their states, and a logistic unit scores the window.
 A text's score is that of its highest window.
 
-Labels are for whole texts, few of them and some wrong. The network is trained here, in numpy, on windows: first those
-of labelled texts in which words stand that are typical of positive texts, then, in a second round, those that the
-network itself picks; positive texts without such a window are taken for mislabelled and left out, and so are windows
-of negative texts that the first round is sure about. The threshold is the one with the best F1 on labelled texts that
-are held out.
+Labels are for whole texts, few of them and some wrong, and nothing else says which window of a text is meant: no list
+of words is given. The network is trained here, in numpy, on windows: first those of positive texts in which words
+stand that the labels show to be typical of positive texts, then, in a second round, those that the network itself
+picks; positive texts without such a window are taken for mislabelled and left out, and so are windows of negative
+texts that the first round is sure about. The threshold is the one with the best F1 on labelled texts that are held out.
 
 Bound: at most MAX_POSITIVE and MAX_NEGATIVE labelled texts with the least hash of their id are used for training;
 every document is scored, whole.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -42,11 +42,7 @@ MIN_DF, EPOCHS, BATCH, RATE = 4, 5, 256, 0.01
 #: Fewer windows are gone over more often, so that a small table trains as many steps as a larger one.
 MIN_STEPS = 240
 TOKEN = re.compile(r"[\w*@$!'’-]+")  # one class of characters: much faster than one that looks at what follows
-# Words that point to the window a positive label is about, before any is learnt; digits and signs that stand for letters in hidden spellings.
-SEEDS = frozenset(
-    "idiot moron imbecile asshole dimwit halfwit cretin jackass bastard scum scumbag vermin subhuman fuck fucking bitch whore slut horny "
-    "idiota imbécil mierda puta arschloch fresse ungeziefer connard salope imbécile cunt worthless brainless".split()
-)
+# Digits and signs that stand for letters in hidden spellings.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"})
 REPEAT = re.compile(r"(.)\1+")
 
@@ -330,9 +326,8 @@ def train(positive: list[str], negative: list[str], seed: int = 5) -> Network:
             doc.append(i)
     m, doc = _matrix(rows), np.array(doc, np.int64)
     value = np.zeros(len(words.own), np.float32)
-    seeds = {skeleton(w) for w in SEEDS}
     for w, i in words.number.items():
-        value[i] = max(typical.get(skel[w], 0.0), 4.0 if skel[w] in seeds else 0.0)
+        value[i] = typical.get(skel[w], 0.0)
     hint = value[m].sum(axis=1)
     label = y[doc]
     best = _best(hint, doc, len(texts))
@@ -381,10 +376,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     text = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
     rows = text.join(F.broadcast(wanted), "k").dropDuplicates(["k"]).collect()  # at most max_positive + max_negative rows
     rows = sorted(rows, key=lambda r: (crc32(str(r.k).encode()), r.k))
-    return train([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
+    sample = sha256(repr([(r.k, r.y, r.t) for r in rows]).encode("utf-8", "surrogatepass")).hexdigest()
+    if sample not in _FITTED:
+        if len(_FITTED) > 3:
+            _FITTED.clear()
+        _FITTED[sample] = train([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
+    return _FITTED[sample]
 
 
-_HELD: dict[int, Words] = {}
+#: Networks of this driver by the digest of what they were trained on, so that queries over the same labels train once.
+_FITTED: dict[str, Network] = {}
 
 
 def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:

@@ -96,7 +96,7 @@ def relations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def related(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Written cases, written (case_id, component) for each of them, and their number."""
     rows, edges = relations(df)
-    comp = components(edges).where("startswith(node, 'c:')").select(F.substring("node", 3, 1_000_000).alias("case_id"), F.substring("component", 3, 1_000_000).alias("component"))
+    comp = components(edges).where("startswith(node, 'c:')").select(F.expr("substring(node, 3)").alias("case_id"), F.expr("substring(component, 3)").alias("component"))
     of = written(rows.select("case_id").distinct().join(comp, "case_id", "left").select("case_id", F.coalesce("component", "case_id").alias("component")))
     return rows, of, of.count()
 
