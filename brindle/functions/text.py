@@ -112,12 +112,17 @@ def slug(text: Column, most: int = 80) -> Column:
     return F.left(F.when(s == "", "section").otherwise(s), F.lit(most))
 
 
-def sentences(text: Column) -> Column:
-    """Array of sentences. A break follows terminal punctuation (and closing quotes) at a blank, unless the word
-    before is an abbreviation or the next character is a small letter."""
+def sentence_break() -> str:
+    """Pattern of the blanks between two sentences: terminal punctuation and closing signs stand before them, but no
+    abbreviation as a word of its own, and a capital, digit, quote or bracket after them."""
     abbreviation = "|".join(a[:-1].replace(".", r"\.") for a in ABBREVIATIONS)
-    brk = rf"(?<=[.!?][\"')\]]{{0,3}})(?<!(?i:(?:^|[\s(])(?:{abbreviation})\.))\s+(?![\p{{Ll}}])"
-    return F.filter(F.split(text, brk), lambda s: s != "")
+    return rf"(?<=[.!?][\"')\]]{{0,9}})(?<!(?:^|\s)(?i:{abbreviation})\.)\s+(?=[\p{{Lu}}\p{{Nd}}\"'(\[])"
+
+
+def sentences(text: Column) -> Column:
+    """Array of sentences, without blanks at either end of the text."""
+    ends = F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.filter(F.split(ends, sentence_break()), lambda s: s != "")
 
 
 def clauses(text: Column) -> Column:

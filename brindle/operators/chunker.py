@@ -8,15 +8,16 @@ from itertools import groupby
 from types import SimpleNamespace
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import ABBREVIATIONS
+from brindle.functions.text import sentence_break
 from brindle.session import spread
 from brindle.sources.markdown import parse
 
 TARGET, MOST, CARRY = 144, 160, 24
-END = re.compile(r"[.!?][\"')\]]*\s+")
+BREAK = regex.compile(sentence_break())
 SCHEMA = "doc string, chunk int, kind string, heading string, text string, spans array<struct<block:string,start:int,end:int>>, quarantine string"
 
 
@@ -26,18 +27,10 @@ def tokens(text: str) -> int:
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Character offsets of sentences: a break needs terminal punctuation and a blank, no abbreviation before it and
-    no small letter after it."""
-    out, at = [], 0
-    for m in END.finditer(text):
-        word = re.search(r"\S*$", text[at : m.start() + 1])[0].lstrip("([\"'").lower()
-        if word in ABBREVIATIONS or text[m.end() : m.end() + 1].islower():
-            continue
-        out.append((at, m.start() + len(m.group().rstrip())))
-        at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text.rstrip())))
-    return out
+    """Character offsets of sentences, parted where `functions.text.sentences` parts them."""
+    gaps = [m.span() for m in BREAK.finditer(text)]
+    begins, ends = [0, *(e for _, e in gaps)], [*(b for b, _ in gaps), len(text.rstrip())]
+    return [(b, e) for b, e in zip(begins, ends) if text[b:e].strip()]
 
 
 class _Packer:
