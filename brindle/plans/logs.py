@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from brindle.operators import events, relations
 from brindle.plans.registry import query
-from brindle.session import table
+from brindle.session import shared_folder, table
+from brindle.sources import sinks
 
 
 @query("""
@@ -112,14 +115,18 @@ def audit_project(spark, sf):
 def upsert_state(spark, sf):
     """The last state of each owner and course."""
     r = table(spark, sf, "requests").where("created_at IS NOT NULL AND owner_code IS NOT NULL AND course_id IS NOT NULL AND request_id IS NOT NULL AND state IS NOT NULL")
-    return relations.latest(r, ["owner_code", "course_id"], [F.desc("created_at"), F.desc("request_id"), F.desc("state")]).select("owner_code", "course_id", F.unix_micros("created_at").alias("last_us"), "state")
+    last = lambda x: relations.latest(x, ["owner_code", "course_id"], [F.desc("created_at"), F.desc("request_id"), F.desc("state")])
+    before = F.col("created_at") < F.lit("2025-01-01").cast("timestamp")
+    state = sinks.upsert(last(r.where(before)), last(r.where(~before)), ["owner_code", "course_id"])
+    return state.select("owner_code", "course_id", F.unix_micros("created_at").alias("last_us"), "state")
 
 
 @query("SELECT count(*) AS kept, (SELECT count(*) FROM requests) - count(*) AS removed FROM requests WHERE created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' OR created_at IS NULL")
 def retention(spark, sf):
     """Rows that a purge keeps and removes."""
-    r, keep = table(spark, sf, "requests"), F.coalesce(F.col("created_at") >= F.lit("2025-01-01").cast("timestamp"), F.lit(True))
-    return r.agg(F.sum(keep.cast("long")).alias("kept"), F.sum((~keep).cast("long")).alias("removed"))
+    out = f"{shared_folder(spark)}/kept-{uuid4().hex}"
+    removed = sinks.purge(table(spark, sf, "requests"), "created_at", F.lit("2025-01-01").cast("timestamp"), out)
+    return spark.read.parquet(out).agg(F.count("*").alias("kept"), F.lit(removed).cast("long").alias("removed"))
 
 
 @query("""

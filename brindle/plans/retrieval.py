@@ -11,9 +11,6 @@ from brindle.operators import lexical, ranking, relations
 from brindle.plans.registry import query
 from brindle.session import cut, spread, table
 
-TERMS = ["urothelium", "pancreas", "vessels", "fibroblasts", "thickness", "serosa"]
-TERM_LIST = ", ".join(f"'{t}'" for t in TERMS)
-
 DOC_STATS = """
     d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
     st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM d),
@@ -32,27 +29,35 @@ def _eligible(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.lower("lang") == "en").select("doc_id").join(toxic, "doc_id", "left_anti")
 
 
-def _fixed(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("query_id"), F.array(*(F.lit(t) for t in TERMS)).alias("terms"))
+ITEMS = """
+    b AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+    qq AS (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM b),
+    q1 AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS r FROM qq GROUP BY query_id, term),
+    q AS (SELECT query_id, term FROM q1 WHERE r <= 64)"""
+
+OK = "SELECT doc_id FROM documents WHERE lower(lang) = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+RANKED = f"""
+    WITH {ITEMS}, {DOC_STATS}, {SCORES}, ok AS (<OK>),
+    s AS (SELECT query_id, doc_id, round(round(sum(part), 9), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(part), 9) DESC, doc_id) AS rank
+          FROM part JOIN q USING (term) WHERE doc_id IN (FROM ok) GROUP BY query_id, doc_id),
+    c AS (SELECT query_id, doc_id, score, rank FROM s WHERE rank <= 30)"""
 
 
-@query(f"""
-    WITH q AS (SELECT unnest([{TERM_LIST}]) AS term), {DOC_STATS}, {SCORES},
-    s AS (SELECT doc_id, round(sum(part), 6) AS score, row_number() OVER (ORDER BY round(sum(part), 9) DESC, doc_id) AS rank FROM part GROUP BY doc_id)
-    SELECT doc_id, score, rank FROM s WHERE rank <= 30""")
+def _bm25(spark, sf, eligible: DataFrame | None = None) -> DataFrame:
+    s = lexical.bm25_top_k(table(spark, sf, "documents"), _queries(spark, sf), 30, eligible=eligible)
+    return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(RANKED.replace("<OK>", "SELECT doc_id FROM documents") + " FROM c")
 def bm25_topk(spark, sf):
-    s = lexical.bm25(table(spark, sf, "documents"), _fixed(spark))
-    return ranking.top_k(s, 30, "score", "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The 30 best documents of every benchmark item."""
+    return _bm25(spark, sf)
 
 
-@query(f"""
-    WITH q AS (SELECT unnest([{TERM_LIST}]) AS term), {DOC_STATS}, {SCORES},
-    s AS (SELECT doc_id, round(sum(part), 6) AS score, row_number() OVER (ORDER BY round(sum(part), 9) DESC, doc_id) AS rank FROM part
-          WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(lang) = 'en') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id)
-    SELECT doc_id, score, rank FROM s WHERE rank <= 30""")
+@query(RANKED.replace("<OK>", OK) + " FROM c")
 def bm25_eligible(spark, sf):
-    s = lexical.bm25(table(spark, sf, "documents"), _fixed(spark), eligible=_eligible(spark, sf))
-    return ranking.top_k(s, 30, "score", "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _bm25(spark, sf, _eligible(spark, sf))
 
 
 @query("""
@@ -73,22 +78,17 @@ def _vectors(e: DataFrame, which: str) -> list[tuple[int, list[float]]]:
     return [(r.vec_id, r.embedding) for r in e.where(which).select("vec_id", "embedding").orderBy("vec_id").collect()]
 
 
-def hybrid(spark, sf, k: int = 5) -> DataFrame:
-    """The lexical part of G01, which the SQL can say: BM25 and term overlap, eligible documents only, 30 of each, fused,
-    the best k. evidence() is the whole."""
-    docs, q, ok = table(spark, sf, "documents"), _queries(spark, sf), _eligible(spark, sf)
+def hybrid(spark, sf, k: int = 5, ok: DataFrame | None = None) -> DataFrame:
+    """The lexical part of G01, which the SQL can say: BM25 and term overlap, 30 of each, fused, the best k.
+    evidence() is the whole."""
+    docs, q = table(spark, sf, "documents"), _queries(spark, sf)
     lex = lexical.bm25_top_k(docs, q, 30, eligible=ok).select("query_id", "doc_id", "score")
     over = lexical.bm25_top_k(docs, q, 30, eligible=ok, overlap=True).select("query_id", "doc_id", "score")
     return ranking.rrf([lex, over], "doc_id", k)
 
 
 HYBRID = f"""
-    WITH b AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), lambda x: TRUE) AS all_terms,
-                      regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-    qq AS (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM b),
-    q1 AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS r FROM qq GROUP BY query_id, term),
-    q AS (SELECT query_id, term FROM q1 WHERE r <= 64), {DOC_STATS}, {SCORES},
-    ok AS (SELECT doc_id FROM documents WHERE lower(lang) = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    WITH {ITEMS}, {DOC_STATS}, {SCORES}, ok AS (<OK>),
     lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(part), 9) DESC, doc_id) AS r FROM part JOIN q USING (term) WHERE doc_id IN (FROM ok) GROUP BY query_id, doc_id),
     dt AS (SELECT DISTINCT doc_id, term FROM tok WHERE doc_id IN (FROM ok)),
     ov AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS r FROM dt JOIN q USING (term) GROUP BY query_id, doc_id),
@@ -97,14 +97,14 @@ HYBRID = f"""
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
 
 
-@query(f"{HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM t WHERE rank <= 5")
+@query(HYBRID.replace("<OK>", OK) + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM t WHERE rank <= 5")
 def hybrid_search(spark, sf):
-    return hybrid(spark, sf).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hybrid(spark, sf, ok=_eligible(spark, sf)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{HYBRID} SELECT count(*) AS rows, count(DISTINCT (query_id, doc_id)) AS pairs, CAST(max(rank) AS BIGINT) AS most, CAST(0 AS BIGINT) AS unranked FROM t WHERE rank <= 5")
+@query(HYBRID.replace("<OK>", OK) + " SELECT count(*) AS rows, count(DISTINCT (query_id, doc_id)) AS pairs, CAST(max(rank) AS BIGINT) AS most, CAST(0 AS BIGINT) AS unranked FROM t WHERE rank <= 5")
 def result_invariants(spark, sf):
-    h = hybrid(spark, sf)
+    h = hybrid(spark, sf, ok=_eligible(spark, sf))
     return h.agg(F.count("*").alias("rows"), F.countDistinct("query_id", "doc_id").alias("pairs"), F.max("rank").cast("long").alias("most"), F.sum(F.col("rank").isNull().cast("long")).alias("unranked"))
 
 
@@ -163,72 +163,57 @@ def evidence_invariants(spark, sf):
 
 
 @query("""
-    WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
+    WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
     s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(v, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings CROSS JOIN q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 30""")
 def dense_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return ranking.dense_top_k(e, _vectors(e, "vec_id < 5"), 30).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranking.dense_top_k(e, _vectors(e, HUNDREDTH), 30).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
-    WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
+    WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
     s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(v, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings CROSS JOIN q WHERE label IN (1, 3, 5)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def dense_topk_filtered(spark, sf):
     e = table(spark, sf, "embeddings")
-    return ranking.dense_top_k(e.where(F.col("label").isin(1, 3, 5)), _vectors(e, "vec_id < 5"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranking.dense_top_k(e.where(F.col("label").isin(1, 3, 5)), _vectors(e, HUNDREDTH), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def dense_topk_hundredth(spark, sf):
-    """The 30 nearest of every vector whose id is divisible by 100, the query set of retrieval_eval."""
-    e = table(spark, sf, "embeddings")
-    return ranking.dense_top_k(e, _vectors(e, HUNDREDTH), 30)
+@query(HYBRID.replace("<OK>", "SELECT doc_id FROM documents") + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM t WHERE rank <= 30")
+def rrf(spark, sf):
+    """Both rankings of every benchmark item, fused."""
+    return hybrid(spark, sf, 30).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def dense_topk_filtered_hundredth(spark, sf):
-    """The 10 nearest with an allowed label of every vector whose id is divisible by 100."""
-    e = table(spark, sf, "embeddings")
-    return ranking.dense_top_k(e.where(F.col("label").isin(1, 3, 5)), _vectors(e, HUNDREDTH), 10)
+RERANKED = f"""{RANKED.replace("<OK>", "SELECT doc_id FROM documents")},
+    dt AS (SELECT DISTINCT doc_id, term FROM tok),
+    o AS (SELECT c.query_id, c.doc_id, CAST(count(dt.term) - 2 AS BIGINT) AS score FROM c JOIN q USING (query_id) LEFT JOIN dt ON dt.doc_id = c.doc_id AND dt.term = q.term GROUP BY ALL)"""
 
 
-@query(f"""
-    WITH q AS (SELECT unnest([{TERM_LIST}]) AS term), {DOC_STATS}, {SCORES},
-    a AS (SELECT doc_id, row_number() OVER (ORDER BY round(sum(part), 9) DESC, doc_id) AS r FROM part GROUP BY doc_id),
-    b AS (SELECT doc_id, row_number() OVER (ORDER BY count(*) DESC, doc_id) AS r FROM tf GROUP BY doc_id),
-    f AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM a WHERE r <= 30 UNION ALL SELECT * FROM b WHERE r <= 30) GROUP BY doc_id),
-    t AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f)
-    SELECT doc_id, round(score, 6) AS score, rank FROM t WHERE rank <= 30""")
-def rrf(spark, sf):
-    docs, q = table(spark, sf, "documents"), _fixed(spark)
-    lex = ranking.top_k(lexical.bm25(docs, q), 30, "score", "doc_id").select("query_id", "doc_id", "score")
-    o = docs.select("doc_id", ranking.overlap_score(F.array(*(F.lit(t) for t in TERMS)), words(F.col("text"))).cast("double").alias("score")).where("score > -2").withColumn("query_id", F.lit(0).cast("long"))
-    over = ranking.top_k(o, 30, "score", "doc_id").select("query_id", "doc_id", "score")
-    return ranking.rrf([lex, over], "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+def _reranked(spark, sf) -> DataFrame:
+    """(query_id, doc_id, source, text, score): the candidates of every benchmark item with their overlap score."""
+    q = _queries(spark, sf)
+    c = table(spark, sf, "documents").join(_bm25(spark, sf).select("query_id", "doc_id"), "doc_id").join(q, "query_id")
+    return c.select("query_id", "doc_id", "source", "text", ranking.overlap_score(F.col("terms"), words(F.col("text"))).cast("long").alias("score"))
 
 
-@query(f"""
-    SELECT doc_id, CAST(len(list_intersect([{TERM_LIST}], list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')))) - 2 AS BIGINT) AS score
-    FROM documents WHERE len(list_intersect([{TERM_LIST}], list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')))) - 2 >= 1""")
+@query(f"{RERANKED} SELECT query_id, doc_id, score FROM o")
 def overlap_rerank(spark, sf):
-    s = ranking.overlap_score(F.array(*(F.lit(t) for t in TERMS)), words(F.col("text"))).cast("long")
-    return table(spark, sf, "documents").select("doc_id", s.alias("score")).where("score >= 1")
+    return _reranked(spark, sf).select("query_id", "doc_id", "score")
 
 
-@query(f"""
-    WITH s AS (SELECT doc_id, source, sha256(text) AS h, len(list_intersect([{TERM_LIST}], list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')))) - 2 AS score FROM documents),
-    k AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY score DESC, doc_id) AS n FROM s WHERE score >= 0),
-    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM k WHERE n = 1)
-    SELECT doc_id, source, place FROM r WHERE place <= 5""")
+@query(f"""{RERANKED},
+    k AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id, source, sha256(text) ORDER BY score DESC, doc_id) AS n FROM o JOIN documents USING (doc_id) WHERE score >= 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM k WHERE n = 1)
+    SELECT query_id, doc_id, source, place FROM r WHERE place <= 5""")
 def select_dedupe(spark, sf):
-    s = ranking.overlap_score(F.array(*(F.lit(t) for t in TERMS)), words(F.col("text")))
-    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"), s.alias("score"), F.lit(0).alias("query_id")).where("score >= 0")
-    one = relations.latest(d, ["source", "h"], [F.desc("score"), F.asc("doc_id")])
-    return ranking.top_k(one, 5, "score", "doc_id", rank="place").select("doc_id", "source", F.col("place").cast("long").alias("place"))
+    """Of candidates with one text in one source the best, then the best five of every item."""
+    d = _reranked(spark, sf).where("score >= 0").withColumn("h", F.sha2("text", 256)).drop("text")
+    one = relations.latest(d, ["query_id", "source", "h"], [F.desc("score"), F.asc("doc_id")])
+    return ranking.top_k(one, 5, "score", "doc_id", rank="place").select("query_id", "doc_id", "source", F.col("place").cast("long").alias("place"))
 
 
 @query()
@@ -249,18 +234,19 @@ def select_greedy(spark, sf):
 
 @query("""
     WITH r AS (SELECT DISTINCT l_orderkey AS record_id, l_partkey AS passage_id FROM lineitem),
-    s0 AS (SELECT DISTINCT l_orderkey % 100 AS query_id, l_partkey AS passage_id FROM lineitem WHERE l_orderkey < 40),
-    s1 AS (SELECT * FROM s0 UNION SELECT query_id, b.passage_id FROM s0 JOIN r a ON s0.passage_id = a.passage_id JOIN r b ON a.record_id = b.record_id)
+    s0 AS (SELECT DISTINCT l_orderkey % 100 AS query_id, l_partkey AS passage_id FROM lineitem),
+    t AS (SELECT DISTINCT query_id, record_id FROM s0 JOIN r USING (passage_id)),
+    s1 AS (SELECT query_id, passage_id FROM s0 UNION SELECT query_id, passage_id FROM t JOIN r USING (record_id))
     SELECT query_id, count(*) AS passages FROM s1 GROUP BY query_id""")
-def conflict_closure(spark, sf):
-    li = table(spark, sf, "lineitem")
-    records = li.select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("passage_id")).distinct()
-    start = li.where("l_orderkey < 40").select((F.col("l_orderkey") % 100).alias("query_id"), F.col("l_partkey").alias("passage_id"))
-    return ranking.conflict_step(start.distinct(), records).groupBy("query_id").agg(F.count("*").alias("passages"))
+def conflict_step(spark, sf):
+    """One step, from every order."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("passage_id")).distinct()
+    start = li.select((F.col("record_id") % 100).alias("query_id"), "passage_id").distinct()
+    return ranking.conflict_step(start, li).groupBy("query_id").agg(F.count("*").alias("passages"))
 
 
 @query()
-def conflict_fixpoint(spark, sf):
+def conflict_closure(spark, sf):
     """The whole closure, from every order."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("passage_id"))
     start = li.select((F.col("record_id") % 100).alias("query_id"), "passage_id")

@@ -19,15 +19,9 @@ def query_terms(spark, sf):
 
 
 @query("""
-    SELECT doc_id, 2 + CAST(list_sum(list_transform(regexp_extract_all(text, '\\w+|[^\\w\\s]'), lambda x: greatest(1, (length(x) + 5) // 6))) AS BIGINT) AS tokens
-    FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+    SELECT doc_id, 2 + coalesce(CAST(list_sum(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]'), lambda x: greatest(1, (length(x) + 5) // 6))) AS BIGINT), 0) AS tokens
+    FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def token_count(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", text.token_count(F.col("text")).cast("long").alias("tokens"))
-
-
-@query()
-def token_count_all(spark, sf):
     """X05 of every document, whatever its script."""
     return table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).cast("long").alias("tokens"))
 
@@ -62,7 +56,16 @@ def folded_view(spark, sf):
     return table(spark, sf, "synthetic").select("case_id", text.folded(F.col("question")).alias("view"))
 
 
-@query()
+ABBREVIATED = "|".join(a[:-1].replace(".", r"\.") for a in text.ABBREVIATIONS)
+
+
+@query(rf"""
+    WITH a AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(t, '(^|\s)((?i:{ABBREVIATED}))\.(\s)', '\1\2' || chr(1) || '\3', 'g') AS t FROM a),
+    c AS (SELECT doc_id, regexp_replace(t, '(^|\s)((?i:{ABBREVIATED}))\.(\s)', '\1\2' || chr(1) || '\3', 'g') AS t FROM b),
+    d AS (SELECT doc_id, regexp_replace(t, '([.!?]["'')\]]{{0,9}})\s+(["''(\[\p{{Lu}}\p{{Nd}}])', '\1' || chr(2) || '\2', 'g') AS t FROM c),
+    e AS (SELECT doc_id, list_filter(string_split(d.t, chr(2)), lambda x: x <> '') AS s FROM d)
+    SELECT doc_id, CASE WHEN s IS NULL THEN NULL ELSE len(s) END AS sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM e""")
 def sentence_split(spark, sf):
     s = table(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
@@ -138,12 +141,11 @@ def cue_flags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in rules.cue_flags(F.col("text")).items()))
 
 
-@query("""
-    SELECT request_id, len(regexp_extract_all(fixed_payload, '[0-9]{3}-[0-9]{4}')) AS phones, len(regexp_extract_all(fixed_payload, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[A-Za-z]+')) AS mails FROM requests""")
+@query()
 def pii_counts(spark, sf):
-    """R05 with patterns that need no look-around."""
-    r = table(spark, sf, "requests")
-    return r.select("request_id", F.regexp_count("fixed_payload", F.lit("[0-9]{3}-[0-9]{4}")).cast("long").alias("phones"), F.regexp_count("fixed_payload", F.lit(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+")).cast("long").alias("mails"))
+    """Spans of structured personal data in every payload, by category."""
+    r = table(spark, sf, "requests").select("request_id", F.explode(rules.span_categories(F.col("fixed_payload"))).alias("category"))
+    return r.groupBy("request_id", "category").agg(F.count("*").alias("spans"))
 
 
 @query()

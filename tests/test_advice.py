@@ -39,7 +39,7 @@ def test_token_count_in_every_script(spark, sf):
     df = spark.createDataFrame([(s,) for s in all_], "t string").select("t", text.token_count(F.col("t")).alias("n"))
     assert {r.t: r.n for r in df.collect()} == {s: tokens(s) for s in all_}
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
-    assert {r.doc_id: r.tokens for r in texts.token_count_all(spark, sf).collect()} == {k: None if t is None else tokens(t) for k, t in docs.items()}
+    assert {r.doc_id: r.tokens for r in texts.token_count(spark, sf).collect()} == {k: None if t is None else tokens(t) for k, t in docs.items()}
 
 
 def test_dense_queries_are_the_stated_set(spark, sf):
@@ -52,8 +52,8 @@ def test_dense_queries_are_the_stated_set(spark, sf):
             out |= {(q, i, n + 1) for n, (_, i) in enumerate(s[:k])}
         return out
 
-    assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_hundredth(spark, sf).collect()} == best(None, 30)
-    assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_filtered_hundredth(spark, sf).collect()} == best({1, 3, 5}, 10)
+    assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk(spark, sf).collect()} == best(None, 30)
+    assert {(r.query_id, r.vec_id, r.rank) for r in retrieval.dense_topk_filtered(spark, sf).collect()} == best({1, 3, 5}, 10)
 
 
 def test_conflict_closure_reaches_its_fixpoint(spark):
