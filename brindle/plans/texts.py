@@ -143,9 +143,9 @@ def cue_flags(spark, sf):
 
 @query()
 def pii_counts(spark, sf):
-    """Spans of structured personal data in every payload, by category."""
-    r = table(spark, sf, "requests").select("request_id", F.explode(rules.span_categories(F.col("fixed_payload"))).alias("category"))
-    return r.groupBy("request_id", "category").agg(F.count("*").alias("spans"))
+    """Spans of structured personal data in every benchmark item, by category."""
+    r = table(spark, sf, "benchmark").select("item_id", F.explode(rules.span_categories(F.col("text"))).alias("category"))
+    return r.groupBy("item_id", "category").agg(F.count("*").alias("spans"))
 
 
 @query()
