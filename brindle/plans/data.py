@@ -22,6 +22,12 @@ def p3_inferred(spark, sf):
     return units.infer_units(table(spark, sf, "passages"), table(spark, sf, "units"))
 
 
+@query()
+def p3_masked(spark, sf):
+    """What p3_inferred makes of explicit quantities whose units are hidden, by kind."""
+    return units.masked(table(spark, sf, "passages"), table(spark, sf, "units"))
+
+
 @query("SELECT source_id, source_version, count(*) AS copies, count(DISTINCT md5(text)) AS contents FROM passages GROUP BY ALL HAVING count(*) > 1")
 def dup_key_check(spark, sf):
     return relations.duplicates(table(spark, sf, "passages"), ["source_id", "source_version"], F.md5("text"))
