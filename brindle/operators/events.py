@@ -50,6 +50,39 @@ def daily_limit(events: DataFrame, user: str, ts: str, most: int) -> DataFrame:
     return d.withColumn("limited", F.col("n") >= most)
 
 
+def exact_percentiles(rows: DataFrame, group: str, value: str, points: dict[str, tuple[float, bool]], bins: int = 4096) -> DataFrame:
+    """(group, n, one column a point) exact percentiles of groups of any size, in two passes. points: name to
+    (share, linear): linear between the two nearest ranks, or the value of the nearest rank.
+
+    The first pass counts values in equal bins between a group's ends; the ranks that are asked for fall into a few bins.
+    The second counts the different values of these bins only. What goes into one window is a group's bins, then a
+    bin's different values, never a group. Nulls and values that are no number are left out; a group of one value has
+    it everywhere."""
+    v = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('inf')")
+    ends = v.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    # groups are few (a kind, a state); adaptive execution sends their ends to every task
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * bins), F.lit(bins - 1)).cast("int")
+    binned = v.alias("x").join(ends.alias("y"), F.expr("x.g <=> y.g")).select("x.g", "x.v", "n", "lo", "hi").select("g", "v", "n", at.alias("bin"))
+    w = Window.partitionBy("g").orderBy("bin")
+    counts = binned.groupBy("g", "n", "bin").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(w) - F.col("c"))
+    ranks = []
+    for name, (q, linear) in points.items():
+        spot = (F.col("n") - 1) * F.lit(q) if linear else F.greatest(F.ceil(F.col("n") * F.lit(q)) - 1, F.lit(0))
+        ranks.append(F.struct(F.lit(name).alias("name"), F.floor(spot).cast("long").alias("low"), F.ceil(spot).cast("long").alias("high"), (spot - F.floor(spot)).cast("double").alias("part")))
+    wanted = ends.select("g", "n", F.explode(F.array(*ranks)).alias("p")).select("g", "n", "p.*")
+    needed = wanted.select("g", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    hit = counts.alias("c").join(needed.alias("r"), F.expr("c.g <=> r.g AND r.rank >= c.before AND r.rank < c.before + c.c")).select("c.g", "c.bin", "c.before", "r.rank")
+    few = hit.select("g", "bin", "before").distinct()
+    inner = binned.alias("x").join(few.alias("f"), F.expr("x.g <=> f.g AND x.bin = f.bin")).groupBy("x.g", "x.bin", "f.before", "x.v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("g", "bin").orderBy("v")
+    inner = inner.select("g", "bin", "v", "c", (F.sum("c").over(w) - F.col("c") + F.col("before")).alias("first"))
+    found = inner.alias("i").join(hit.alias("h"), F.expr("i.g <=> h.g AND i.bin = h.bin AND h.rank >= i.first AND h.rank < i.first + i.c")).select("i.g", "h.rank", "i.v")
+    low, high = found.withColumnsRenamed({"rank": "low", "v": "a"}), found.withColumnsRenamed({"rank": "high", "v": "b"})
+    got = wanted.alias("w").join(low.alias("l"), F.expr("w.g <=> l.g AND w.low = l.low")).join(high.alias("h"), F.expr("w.g <=> h.g AND w.high = h.high"))
+    got = got.select("w.g", "w.n", "w.name", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+    return got.groupBy(F.col("g").alias(group), "n").agg(*(F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in points))
+
+
 def breaker(events: DataFrame, key: str, ts: str, order: str, failed: str, failures: int = 5, window_s: int = 60, cooldown_s: int = 30) -> DataFrame:
     """An ordered fold for each key: open after so many failures in a row within the window, closed to all calls
     for the cooldown, then one trial. Keys are services, few and bounded; a key's log is one group."""

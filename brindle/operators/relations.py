@@ -43,11 +43,19 @@ def first_complete(sets: DataFrame, usable: DataFrame, item: str, pos: str, memb
 
 
 def span_overlaps(spans: DataFrame, block: str, key: str, start: str, end: str, least: float) -> DataFrame:
-    """(key_a, key_b, shared, ratio): pairs that share enough of the shorter one's total span within equal blocks."""
+    """(key_a, key_b, shared, ratio): pairs that share enough of the shorter one's total span within equal blocks.
+
+    A block is cut into cells of twice the mean span and every span is put into the cells it touches, so that only
+    spans near each other meet, however many a block has. A pair of spans counts in the cell in which the later one
+    begins. Spans without length share nothing."""
     total = spans.groupBy(key).agg(F.sum(F.greatest(F.col(end) - F.col(start), F.lit(0))).alias("total"))
-    a = spans.select(F.col(block).alias("b"), F.col(key).alias("ka"), F.col(start).alias("s1"), F.col(end).alias("e1"))
-    b = spans.select(F.col(block).alias("b"), F.col(key).alias("kb"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    hit = a.join(b, (a.b == b.b) & (F.col("ka") < F.col("kb")) & (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
+    some = spans.where(F.col(end) > F.col(start))
+    width = max(float(some.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1) * 2, 1e-9)
+    cell = lambda c: F.floor(c / width)
+    last = F.greatest(F.ceil(F.col(end) / width) - 1, cell(F.col(start)))
+    each = some.select(F.col(block).alias("b"), F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), F.explode(F.sequence(cell(F.col(start)), last)).alias("cell"))
+    a, b = each.withColumnsRenamed({"k": "ka", "s": "s1", "e": "e1"}), each.withColumnsRenamed({"k": "kb", "s": "s2", "e": "e2"})
+    hit = a.join(b, ["b", "cell"]).where((F.col("ka") < F.col("kb")) & (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")) & (cell(F.greatest("s1", "s2")) == F.col("cell")))
     shared = hit.groupBy("ka", "kb").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("shared"))
     r = shared.join(total.withColumnsRenamed({key: "ka", "total": "ta"}), "ka").join(total.withColumnsRenamed({key: "kb", "total": "tb"}), "kb")
     r = r.withColumn("ratio", F.col("shared") / F.least("ta", "tb"))
