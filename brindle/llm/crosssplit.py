@@ -149,11 +149,14 @@ def class_overlaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     each = None
     for k, d in enumerate(digests):
-        one = cls.select("cls", "train", "eval", "words", F.lit(k).alias("seed"), F.explode(F.array_distinct(d)).alias("digest"))
+        # the record's words, the hash's number and the splits in one number, since these rows are the most that are shuffled
+        meta = F.col("words").cast("long") * 64 + k * 4 + F.col("train").cast("long") * 2 + F.col("eval").cast("long")
+        one = cls.select("cls", meta.alias("meta"), F.explode(F.array_distinct(d)).alias("digest"))
         each = one if each is None else each.unionByName(one)
-    carried = each.groupBy("digest").agg(F.count("*").cast("int").alias("carried"), F.bool_or("train").alias("t"), F.bool_or("eval").alias("e")).where("t AND e").select("digest", "carried")
-    shared = each.join(carried, "digest").groupBy("cls", "seed", "train", "eval", "words").agg(F.collect_list(F.struct("digest", F.col("digest").bitwiseAND(7).alias("length"), "carried")).alias("chunks"))
-    head = shared.select("cls", "train", "eval", "chunks", "words").mapInArrow(_keys, "key long, cls long, train boolean, eval boolean")
+    carried = each.groupBy("digest").agg(F.count("*").cast("int").alias("carried"), F.bit_or(F.col("meta").bitwiseAND(3)).alias("in")).where(F.col("in") == 3).select("digest", "carried")
+    shared = each.join(carried, "digest").groupBy("cls", "meta").agg(F.collect_list(F.struct("digest", "carried")).alias("chunks"))
+    shared = shared.withColumn("chunks", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["digest"].bitwiseAND(7).alias("length"), c["carried"].alias("carried"))))
+    head = shared.select("cls", F.expr("meta & 2 = 2").alias("train"), F.expr("meta & 1 = 1").alias("eval"), "chunks", F.shiftright("meta", 6).cast("int").alias("words")).mapInArrow(_keys, "key long, cls long, train boolean, eval boolean")
     a, b = head.where("train").select("key", F.col("cls").alias("a")), head.where("eval").select("key", F.col("cls").alias("b"))
     pairs = a.join(b, "key").where("a <> b").select("a", "b").distinct()
     x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(F.col(d).alias(f"ca{k}") for k, d in enumerate(digests)), F.col("runs").alias("ra"))
