@@ -159,11 +159,12 @@ def class_overlaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     head = shared.select("cls", F.expr("meta & 2 = 2").alias("train"), F.expr("meta & 1 = 1").alias("eval"), "chunks", F.shiftright("meta", 6).cast("int").alias("words")).mapInArrow(_keys, "key long, cls long, train boolean, eval boolean")
     a, b = head.where("train").select("key", F.col("cls").alias("a")), head.where("eval").select("key", F.col("cls").alias("b"))
     pairs = a.join(b, "key").where("a <> b").select("a", "b").distinct()
-    x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(F.col(d).alias(f"ca{k}") for k, d in enumerate(digests)), F.col("runs").alias("ra"))
-    y = cls.select(F.col("cls").alias("b"), F.col("words").alias("wb"), *(F.col(d).alias(f"cb{k}") for k, d in enumerate(digests)), F.col("runs").alias("rb"))
+    x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(F.col(d).alias(f"ca{k}") for k, d in enumerate(digests)))
+    y = cls.select(F.col("cls").alias("b"), F.col("words").alias("wb"), *(F.col(d).alias(f"cb{k}") for k, d in enumerate(digests)))
     m = pairs.join(x, "a").join(y, "b")
     shared = [F.expr(f"aggregate(array_intersect(ca{k}, cb{k}), 0L, (s, z) -> s + (z & 7))") for k in range(len(SEEDS))]
     m = m.withColumn("chunk_overlap", F.greatest(*shared, F.lit(0)) / F.greatest("wa", "wb")).where(F.col("chunk_overlap") >= SHARE)
+    m = m.select("a", "b", "chunk_overlap").join(cls.select(F.col("cls").alias("a"), F.col("runs").alias("ra")), "a").join(cls.select(F.col("cls").alias("b"), F.col("runs").alias("rb")), "b")
     m = m.withColumn("common", F.size(F.array_intersect("ra", "rb")))
     m = m.withColumn("overlap", F.col("common") / (F.size("ra") + F.size("rb") - F.col("common")))
     near = m.where(F.col("overlap") >= threshold).select("a", "b", "chunk_overlap", "overlap")
