@@ -252,3 +252,39 @@ def test_bm25_blocks_equal_the_join(spark, sf):
     key = lambda r: (r.query_id, r.rank, r.doc_id, r.score)
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
     assert lexical.bm25_top_k(docs.limit(0), q, 7).count() == 0
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in r.lognormal(2, 1, 501)] + [("b", 3.0)] * 7 + [(None, 1.0), (None, 2.0), ("c", None), ("d", float("nan")), ("e", -5.0)]
+    d = spark.createDataFrame(rows, "k string, x double")
+    points = {"p50": (0.5, True), "p99": (0.99, True), "near": (0.95, False)}
+    got = {x.k: x for x in events.exact_percentiles(d, "k", "x", points, bins=16).collect()}
+    a = np.sort([x for k, x in rows if k == "a"])
+    assert set(got) == {"a", "b", "e", None} and got["b"].p50 == got["b"].near == 3.0 and got[None].p50 == 1.5 and got["e"].p99 == -5.0
+    assert abs(got["a"].p50 - np.quantile(a, 0.5)) < 1e-9 and abs(got["a"].p99 - np.quantile(a, 0.99)) < 1e-9 and got["a"].near == a[int(np.ceil(501 * 0.95)) - 1]
+    assert events.exact_percentiles(d.limit(0), "k", "x", points).count() == 0
+
+
+def test_span_overlaps_of_uneven_lengths(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(r.choice("xy"), i % 40, s, s + r.choice([0, 1, 3, 9, 200])) for i, s in ((i, r.randrange(-300, 300)) for i in range(160))]
+    d = spark.createDataFrame(rows, "b string, k int, s int, e int")
+    shared, total = {}, {}
+    for b, k, s, e in rows:
+        total[k] = total.get(k, 0) + e - s
+        for b2, k2, s2, e2 in rows:
+            if b == b2 and k < k2 and s < e and s2 < e2 and s < e2 and s2 < e:
+                shared[k, k2] = shared.get((k, k2), 0) + min(e, e2) - max(s, s2)
+    want = {p: n for p, n in shared.items() if n / min(total[p[0]], total[p[1]]) >= 0.3}
+    assert {(x.k_a, x.k_b): x.shared for x in relations.span_overlaps(d, "b", "k", "s", "e", 0.3).collect()} == want and want
+    assert relations.span_overlaps(d.limit(0), "b", "k", "s", "e", 0.3).count() == 0
+
+
+def test_sentences_and_their_spans_agree(spark):
+    for t in ("See Fig. 3 here. then more. \"So?\" It is (approx. 5). 7 follow! Ünder. x", "", "One", "A.  B.\n\nC", " Lead. Tail. "):
+        assert [t[a:b].strip() for a, b in chunker.sentence_spans(t)] == one(spark, text.sentences(F.lit(t)))
