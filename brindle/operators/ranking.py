@@ -146,10 +146,25 @@ def select_evidence(candidates: DataFrame, threshold: float, most: int = 5, over
 
 
 def conflict_step(selected: DataFrame, records: DataFrame) -> DataFrame:
-    """J05, one round: selected (query_id, passage_id), distinct, and the members of every record (record_id,
-    passage_id) that has a selected member."""
-    touched = selected.join(records, "passage_id").select("query_id", "record_id").distinct()
-    return selected.unionByName(touched.join(records, "record_id").select("query_id", "passage_id")).distinct()
+    """J05, one round: selected (query_id, passage_id) and the members of every record (record_id, passage_id) that has
+    a selected member, each once.
+
+    A passage that many queries select stands in many records, so a row for each query and record would be many times
+    the result. The queries of a passage or record are therefore a set of bits, a row for each block of 128 query ids
+    (ids that are not whole numbers, and null, have a block each), which the rounds join by `or`."""
+    q = F.col("query_id")
+    whole = dict(selected.dtypes)["query_id"] in ("tinyint", "smallint", "int", "bigint")
+    block, bit = (F.shiftright(q.cast("long"), 7), F.coalesce(q.cast("long").bitwiseAND(127), F.lit(0)).cast("int")) if whole else (q, F.lit(0))
+    masks = [F.bit_or(m).alias(m) for m in ("low", "high")]
+    one = lambda least: F.when(F.col("bit").between(least, least + 63), F.expr(f"shiftleft(1L, bit - {least})")).otherwise(0)
+    held = selected.select("passage_id", block.alias("block"), bit.alias("bit")).select("passage_id", "block", one(0).alias("low"), one(64).alias("high")).groupBy("passage_id", "block").agg(*masks)
+    r = records.select("record_id", "passage_id")
+    touched = held.join(r, "passage_id").groupBy("record_id", "block").agg(*masks)
+    drawn = touched.join(r, "record_id").select("passage_id", "block", "low", "high")
+    out = held.unionByName(drawn).groupBy("passage_id", "block").agg(*masks)
+    bits = F.expr("filter(sequence(0, 127), i -> getbit(if(i < 64, low, high), i % 64) = 1)")
+    out = out.select("block", "passage_id", F.explode(bits).alias("bit"))
+    return out.select((F.shiftleft("block", 7) + F.col("bit")).cast(selected.schema["query_id"].dataType).alias("query_id") if whole else F.col("block").alias("query_id"), "passage_id")
 
 
 def conflict_closure(selected: DataFrame, records: DataFrame) -> DataFrame:

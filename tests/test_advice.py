@@ -71,6 +71,31 @@ def test_conflict_closure_reaches_its_fixpoint(spark):
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
 
 
+def test_conflict_step_joins_sets_of_queries(spark):
+    r = random.Random(9)
+    ids = [-9_000_000_000, -129, -1, 0, 1, 63, 64, 127, 128, 9_000_000_000, None]
+    records = [(r.randrange(40), r.randrange(60)) for _ in range(120)] + [(None, 3), (50, None), (7, 8), (7, 8)]
+    start = [(r.choice(ids), r.randrange(70)) for _ in range(60)] + [(1, None), (64, 5), (64, 5)]
+    want = set(start) | {(q, b) for q, p in start if p is not None for k, a in records if a == p and k is not None for n, b in records if n == k}
+    for kind, of in (("long", lambda q: q), ("string", lambda q: None if q is None else f"q{q}")):
+        d = spark.createDataFrame([(of(q), p) for q, p in start], f"query_id {kind}, passage_id long")
+        got = ranking.conflict_step(d, spark.createDataFrame(records, "record_id long, passage_id long"))
+        assert got.schema["query_id"].dataType == d.schema["query_id"].dataType
+        assert sorted(str(tuple(x)) for x in got.collect()) == sorted(str((of(q), p)) for q, p in want)
+
+
+def test_conflict_step_joins_no_row_for_each_query_and_record(spark):
+    records = spark.createDataFrame([(i, j) for i in range(200) for j in (0, 1 + i)], "record_id long, passage_id long")
+    got = ranking.conflict_step(spark.createDataFrame([(q, 0) for q in range(100)], "query_id long, passage_id long"), records)
+    assert len(got.collect()) == 100 * 201
+
+    def joined(node):
+        below = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        return node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0, *(x for n in below for x in joined(n))
+
+    assert 0 < max(joined(got._jdf.queryExecution().executedPlan())) <= 400  # with a row for each query and record 20,000
+
+
 def test_selection_brings_in_every_side_of_a_conflict(spark):
     c = spark.createDataFrame(
         [(q, f"p{i}", f"s{i}", "x", f"h{i}", None, 9.0 - i, 0.1) for q in range(1, 4) for i in range(8) if q != 2 or i != 7],
