@@ -8,12 +8,19 @@ fraction is at least SHARE. An exact check on the runs of three words follows. T
 hashes, since an edit that spoils the chunks of one seldom spoils those of the others; how many pairs all miss is
 measured in tests/llm and given in the README.
 
-Which digests must be joined: with a record's chunks ordered by how many classes carry them, two records that share
+Which digests must be joined: with a record's chunks ordered by how many records carry them, two records that share
 chunks of SHARE of their length share one of those before the last chunks that together are shorter than SHARE. Only
 those are joined, so that template words that all questions share are hardly ever among them. A digest that more than
-HOT classes carry is not joined alone: the pair must share a second chunk (unless the one is SHARE of the record by
+HOT records carry is not joined alone: the pair must share a second chunk (unless the one is SHARE of the record by
 itself), so the digest is joined together with each other chunk that could be the next of the shared ones. Nothing is
-lost by either. Equal questions are one class before any join, and adaptive execution splits what is still hot.
+lost by either: any order that is the same for all records does, so the counts may be rough. They are those of 32 bits
+of the digest, and every task holds the TABLE most frequent ones.
+
+What goes to disk: the text is read three times (counts, keys, texts of the classes that are in a pair), since its
+features are many times its size. A key is shuffled with its class and a signature only, 48 bits that the runs of three
+words set and the number of runs. Two sets of runs differ in at least as many runs as their signatures in bits, so most
+pairs that are not near are dropped where they meet, and no near one is. Copies of a question are one class in each
+task and at each key before any join.
 
 Defined results: rows without id or question take part in nothing; partition ignores case and outer blanks, anything
 but training, development and final is none of them; a case delivered twice counts once; questions without any word
@@ -26,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +44,12 @@ from .words import grid, mix, plain, runs, text_hashes
 THRESHOLD, SHARE = 0.7, 0.6
 SEEDS, REACH, LONGEST = (7, 11, 13, 17), 1, 4
 HOT = 8
+#: Digests whose counts each task holds; others count as rare, which costs pairs to look at but loses none.
+TABLE = 2_000_000
+#: Classes in a pair up to which each task holds them when their texts are read; with more they are joined.
+WANTED = 4_000_000
+#: Bits of a signature; above them stands the number of runs.
+BITS = 48
 
 
 def partition_of(col: Column) -> Column:
@@ -65,39 +79,82 @@ def cut(words: np.ndarray, at: np.ndarray, seed: int = 7, reach: int = REACH) ->
     return digest, np.diff(ends), np.searchsorted(stop, at, "right").astype(np.int64)
 
 
-def _lists(values: np.ndarray, of: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(values))
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for s in range(0, b.num_rows, 5000):
+            part = b.slice(s, 5000)
+            yield part, *grid([plain(t) for t in part.column(text).to_pylist()])
+
 
+def _different(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's different values, by owner and value."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], owner[new]
+
+
+def chunks(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different digests of every text under every hash; text i under the k-th hash is owner i * len(SEEDS) + k."""
+    digests, owners = [], []
+    for k, seed in enumerate(SEEDS):
+        digest, _, of = cut(words, at, seed)
+        digests.append(digest.view(np.int64))
+        owners.append(np.repeat(np.arange(len(at) - 1) * len(SEEDS) + k, np.diff(of)))
+    return _different(np.concatenate(digests), np.concatenate(owners))
+
+
+def _run_sets(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, to = runs(words, at)
+    return _different(h.view(np.int64), np.repeat(np.arange(len(at) - 1), np.diff(to)))
+
+
+def signatures(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of every text the bits that its runs of words set, and above them their number."""
+    h, owner = _run_sets(words, at)
+    if not len(h):
+        return np.empty(0, np.int64)
+    n = np.bincount(owner)  # every text has a run
+    sets = np.bitwise_or.reduceat(np.int64(1) << (h.view(np.uint64) % np.uint64(BITS)).astype(np.int64), np.cumsum(n) - n)
+    return np.minimum(n, 32767) << BITS | sets
+
+
+def _rough(digest: np.ndarray) -> np.ndarray:
+    return (digest >> 32).astype(np.int32)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted() -> pa.RecordBatch:
+        d, n = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(n)], names=["d", "n"])
+
+    seen: list[np.ndarray] = []
+    for _, words, at in _slices(batches, "q"):
+        seen.append(_rough(chunks(words, at)[0]))
+        if sum(map(len, seen)) > 1_000_000:
+            yield counted()
+            seen = []
+    if seen:
+        yield counted()
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for s in range(0, b.num_rows, 2000):
-            part = b.slice(s, 2000)
-            words, at = grid([plain(t) for t in part.column(2).to_pylist()])
-            h, to = runs(words, at)
-            h = h.view(np.int64)
-            owner = np.repeat(np.arange(part.num_rows), np.diff(to))
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
-            sets = _lists(h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=part.num_rows))]))
-            cols, names = [], []
-            for k, seed in enumerate(SEEDS):
-                digest, _, of = cut(words, at, seed)
-                cols.append(_lists(digest.view(np.int64), of))
-                names.append(f"digests{k}")
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(text_hashes(words, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32)), *cols, sets],
-                names=["id", "part", "cls", "words", *names, "runs"],
-            )
+
+def frequencies(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent digests, in ascending order, and how many records carry each."""
+    n = written(spread(src.select("q")).mapInArrow(_counts, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).where("n > 1"))
+    least = 1
+    while n.where(F.col("n") > least).count() > TABLE:
+        least *= 2
+    t = n.where(F.col("n") > least).toArrow()
+    d, n = t["d"].to_numpy(), t["n"].to_numpy()
+    order = np.argsort(d)
+    return d[order], n[order]
 
 
 def records(df: DataFrame) -> DataFrame:
-    """Written table of the split records with their features."""
+    """The split records: id, part and question; copies are still among them."""
     src = df.select(F.col("case_id").cast("string").alias("id"), partition_of(F.col("partition")).alias("part"), F.col("question").alias("q"))
-    src = src.where("id IS NOT NULL AND part IS NOT NULL AND q IS NOT NULL").distinct()
-    chunks = ", ".join(f"digests{k} array<long>" for k in range(len(SEEDS)))
-    return written(spread(src).mapInArrow(_features, f"id string, part string, cls long, words int, {chunks}, runs array<long>"))
+    return src.where("id IS NOT NULL AND part IS NOT NULL AND q IS NOT NULL")
 
 
 def join_keys(words: np.ndarray, of: np.ndarray, digest: np.ndarray, length: np.ndarray, carried: np.ndarray, share: float = SHARE, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -125,60 +182,110 @@ def join_keys(words: np.ndarray, of: np.ndarray, digest: np.ndarray, length: np.
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        chunks = b.column(3)
-        flat = chunks.flatten()
-        of = chunks.offsets.to_numpy()
-        of = of - of[0]
-        key, row = join_keys(b.column(4).to_numpy(), of, *(flat.field(i).to_numpy() for i in range(3)))
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(i).take(at) for i in range(3))], names=["key", "cls", "train", "eval"])
+def _keys(src: DataFrame, held: Broadcast) -> DataFrame:
+    """(key, cls, sig), each once and all of a key in one partition."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = held.value
+        for _, words, at in _slices(batches, "q"):
+            cls, size = text_hashes(words, at).view(np.int64), np.diff(at)
+            first = np.zeros(len(cls), bool)
+            first[np.unique(cls, return_index=True)[1]] = True
+            digest, owner = chunks(words, at)
+            rough = _rough(digest)
+            place = np.searchsorted(often, rough)
+            known = place < len(often)
+            known[known] = often[place[known]] == rough[known]
+            carried = np.ones(len(digest), np.int64)
+            carried[known] = times[place[known]]
+            of = np.searchsorted(owner, np.arange(len(cls) * len(SEEDS) + 1))
+            key, row = join_keys(np.repeat(size, len(SEEDS)), of, digest, digest & 7, carried)
+            row = row // len(SEEDS)
+            bare = np.flatnonzero(size == 0)  # a question without words has no chunk
+            key, row = np.concatenate([key, cls[bare]]), np.concatenate([row, bare])
+            key, row = key[first[row]], row[first[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[row]), pa.array(signatures(words, at)[row])], names=["key", "cls", "sig"])
+
+    return spread(src.select("q")).mapInArrow(keys, "key long, cls long, sig long").repartition("key").distinct()
+
+
+def candidates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Written table of (a, b): training and evaluation classes that share a key and may reach the threshold."""
+    held = rows.sparkSession.sparkContext.broadcast(frequencies(rows))
+    a = _keys(rows.where("part = 'training'"), held).withColumnsRenamed({"cls": "a", "sig": "sa"})
+    b = _keys(rows.where("part <> 'training'"), held).withColumnsRenamed({"cls": "b", "sig": "sb"})
+    # sets of x and y runs with overlap t differ in at most (1 - t) / (1 + t) * (x + y) runs
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")).bitwiseAND(F.lit((1 << BITS) - 1)))
+    most = (1 - threshold) / (1 + threshold) * (F.shiftright("sa", BITS) + F.shiftright("sb", BITS)) + 1e-6
+    return written(a.join(b, "key").where(apart <= most).select("a", "b").distinct())
+
 
+def members(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Written table of the records whose class is in a pair: id, part, q and cls."""
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    few = wanted.count() <= WANTED
+    held = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["cls"].to_numpy()) if few else None)
 
-def class_overlaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for part, words, at in _slices(batches, "q"):
+            cls = text_hashes(words, at).view(np.int64)
+            out = pa.RecordBatch.from_arrays([*part.columns, pa.array(cls)], names=["id", "part", "q", "cls"])
+            if known is not None:
+                place = np.searchsorted(known, cls)
+                hit = place < len(known)
+                hit[hit] = known[place[hit]] == cls[hit]
+                out = out.filter(pa.array(hit))
+            yield out
+
+    m = spread(rows).mapInArrow(classes, "id string, part string, q string, cls long")
+    return written(m if few else m.join(wanted, "cls", "left_semi").select("id", "part", "q", "cls"))
+
+
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int, weighed: bool = False) -> np.ndarray:
+    """How many values owners have in both, or the sum of the lengths that stand in them."""
+    h, owner = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    both = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
+    return np.bincount(owner[both], h[both] & 7 if weighed else None, n)
+
+
+def class_overlaps(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, chunk_overlap, overlap): training class a and evaluation class b, both questions' words, at the threshold
     or above; a = b where the questions are equal. chunk_overlap is the shared chunks' length over that of the longer
     record, by the hash that gives more."""
-    digests = [f"digests{k}" for k in range(len(SEEDS))]
-    cls = written(
-        rows.groupBy("cls").agg(
-            F.bool_or(F.col("part") == "training").alias("train"), F.bool_or(F.col("part") != "training").alias("eval"),
-            *(F.first(c).alias(c) for c in ("words", *digests, "runs")),
-        )
-    )
-    each = None
-    for k, d in enumerate(digests):
-        # the record's words, the hash's number and the splits in one number, since these rows are the most that are shuffled
-        meta = F.col("words").cast("long") * 64 + k * 4 + F.col("train").cast("long") * 2 + F.col("eval").cast("long")
-        one = cls.select("cls", meta.alias("meta"), F.explode(F.array_distinct(d)).alias("digest"))
-        each = one if each is None else each.unionByName(one)
-    carried = each.groupBy("digest").agg(F.count("*").cast("int").alias("carried"), F.bit_or(F.col("meta").bitwiseAND(3)).alias("in")).where(F.col("in") == 3).select("digest", "carried")
-    shared = each.join(carried, "digest").groupBy("cls", "meta").agg(F.collect_list(F.struct("digest", "carried")).alias("chunks"))
-    shared = shared.withColumn("chunks", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["digest"].bitwiseAND(7).alias("length"), c["carried"].alias("carried"))))
-    head = shared.select("cls", F.expr("meta & 2 = 2").alias("train"), F.expr("meta & 1 = 1").alias("eval"), "chunks", F.shiftright("meta", 6).cast("int").alias("words")).mapInArrow(_keys, "key long, cls long, train boolean, eval boolean")
-    a, b = head.where("train").select("key", F.col("cls").alias("a")), head.where("eval").select("key", F.col("cls").alias("b"))
-    pairs = a.join(b, "key").where("a <> b").select("a", "b").distinct()
-    x = cls.select(F.col("cls").alias("a"), F.col("words").alias("wa"), *(F.col(d).alias(f"ca{k}") for k, d in enumerate(digests)))
-    y = cls.select(F.col("cls").alias("b"), F.col("words").alias("wb"), *(F.col(d).alias(f"cb{k}") for k, d in enumerate(digests)))
-    m = pairs.join(x, "a").join(y, "b")
-    shared = [F.expr(f"aggregate(array_intersect(ca{k}, cb{k}), 0L, (s, z) -> s + (z & 7))") for k in range(len(SEEDS))]
-    m = m.withColumn("chunk_overlap", F.greatest(*shared, F.lit(0)) / F.greatest("wa", "wb")).where(F.col("chunk_overlap") >= SHARE)
-    m = m.select("a", "b", "chunk_overlap").join(cls.select(F.col("cls").alias("a"), F.col("runs").alias("ra")), "a").join(cls.select(F.col("cls").alias("b"), F.col("runs").alias("rb")), "b")
-    m = m.withColumn("common", F.size(F.array_intersect("ra", "rb")))
-    m = m.withColumn("overlap", F.col("common") / (F.size("ra") + F.size("rb") - F.col("common")))
-    near = m.where(F.col("overlap") >= threshold).select("a", "b", "chunk_overlap", "overlap")
-    return near.unionByName(cls.where("train AND eval").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("chunk_overlap"), F.lit(1.0).alias("overlap")))
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, words, at in _slices([b], "qa"):
+                n = part.num_rows
+                other, to = grid([plain(t) for t in part.column("qb").to_pylist()])
+                x, y = _run_sets(words, at), _run_sets(other, to)
+                common = _common(x, y, n)
+                overlap = common / (np.bincount(x[1], minlength=n) + np.bincount(y[1], minlength=n) - common)
+                longer = np.maximum(np.diff(at), np.diff(to))
+                share = _common(chunks(words, at), chunks(other, to), n * len(SEEDS), True).reshape(n, -1).max(1, initial=0) / np.maximum(longer, 1)
+                equal = part.column("a").to_numpy() == part.column("b").to_numpy()
+                overlap[equal] = share[equal] = 1.0
+                near = pa.array((share >= SHARE) & (overlap >= threshold))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(share), pa.array(overlap)], names=["a", "b", "chunk_overlap", "overlap"]).filter(near)
+
+    text = rows.groupBy("cls").agg(F.first("q").alias("q"))
+    both = pairs.join(text.withColumnsRenamed({"cls": "a", "q": "qa"}), "a").join(text.withColumnsRenamed({"cls": "b", "q": "qb"}), "b")
+    return both.select("a", "b", "qa", "qb").mapInArrow(overlaps, "a long, b long, chunk_overlap double, overlap double")
 
 
 def cross_pairs(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """train_id, eval_id, eval_part, chunk_overlap, overlap for every such pair of cases."""
-    rows = records(df)
-    pairs = class_overlaps(rows, threshold)
+    src = records(df)
+    pairs = candidates(src, threshold)
+    rows = members(src, pairs)
+    near = class_overlaps(pairs, rows, threshold)
     member = rows.select("id", "part", "cls").distinct()
     t = member.where("part = 'training'").select(F.col("id").alias("train_id"), F.col("cls").alias("a"))
     e = member.where("part <> 'training'").select(F.col("id").alias("eval_id"), F.col("part").alias("eval_part"), F.col("cls").alias("b"))
-    return pairs.join(t, "a").join(e, "b").where("train_id <> eval_id").select("train_id", "eval_id", "eval_part", "chunk_overlap", "overlap")
+    return near.join(t, "a").join(e, "b").where("train_id <> eval_id").select("train_id", "eval_id", "eval_part", "chunk_overlap", "overlap")
 
 
 def found(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

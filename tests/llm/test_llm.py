@@ -1,5 +1,6 @@
 import collections
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("brindle.llm")
 
 from brindle.llm import abuse, canonical, components, crosssplit, leaks, nearcopies, neighbours, packing, pieces, words  # noqa: E402
+from brindle.session import shared_folder  # noqa: E402
 
 
 # ---- 1 pieces
@@ -249,6 +251,53 @@ def test_cross_pairs_against_brute_force(spark):
     assert rep[0] == len(want)
 
 
+def questions(n, seed=4):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(5))
+    out = []
+    for i in range(n):
+        t = f"how does the {word()} of the {word()} specimen change when {word()} cells leave the {word()} margin after an injury at low temperature".split()
+        out.append((f"a{i}", "training", " ".join(t), None, None, 1))
+        if i % 10 == 0:
+            out.append((f"b{i}", "final", " ".join(t[:-2]), None, None, 1))
+        else:
+            out.append((f"b{i}", "final", f"which {word()} cells of the {word()} touch the {word()} band and why is the {word()} border usually so here", None, None, 1))
+    return out
+
+
+def test_cross_pairs_write_little_for_each_case(spark, tmp_path):
+    rows = questions(10_000)
+    cases(spark, rows).repartition(8).write.parquet(f"{tmp_path}/cases")
+    store, kept = spark.sparkContext._jsc.sc().statusStore(), Path(shared_folder(spark))
+
+    def written_bytes():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        e = store.executorList(False)
+        return sum(e.apply(i).totalShuffleWrite() for i in range(e.size())) + sum(x.stat().st_size for x in Path(kept.as_posix().removeprefix("file:")).rglob("*.parquet"))
+
+    before = written_bytes()
+    got = {tuple(x) for x in crosssplit.found(spark.read.parquet(f"{tmp_path}/cases")).collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(0, 10_000, 10)}
+    assert (written_bytes() - before) / len(rows) < 700  # a case takes some 170 bytes where it is stored, and four times that is the limit
+
+
+@pytest.mark.parametrize("table, wanted", [(0, 4_000_000), (10, 4_000_000), (2_000_000, 0)])
+def test_cross_pairs_beyond_what_tasks_hold(spark, monkeypatch, table, wanted):
+    monkeypatch.setattr(crosssplit, "TABLE", table)
+    monkeypatch.setattr(crosssplit, "WANTED", wanted)
+    rows = questions(200) + [("c1", "training", "?", None, None, 1), ("c2", "final", "!", None, None, 1)] + [(f"d{i}", ("training", "final")[i % 2], "the same text again", None, None, 1) for i in range(20)]
+    got = {tuple(x) for x in crosssplit.found(cases(spark, rows)).collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(0, 200, 10)} | {("c1", "c2")} | {tuple(sorted((f"d{i}", f"d{j}"))) for i in range(0, 20, 2) for j in range(1, 20, 2)}
+
+
+def test_signatures_differ_in_no_more_bits_than_the_sets():
+    r = random.Random(3)
+    t = ["", "x"] + [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 90))) for _ in range(200)]
+    s, sig = [runs_of(x) for x in t], crosssplit.signatures(*words.grid(t)).tolist()
+    assert [x >> crosssplit.BITS for x in sig] == [len(x) for x in s]
+    assert all(((x ^ y) & ((1 << crosssplit.BITS) - 1)).bit_count() <= len(p ^ q) for x, p in zip(sig, s) for y, q in zip(sig, s))
+
+
 def test_chunks_cover_the_text_and_move_with_it():
     w, at = words.grid(["a b c d e f g h i j", "", "x", "new words in front a b c d e f g h i j"])
     for reach in (1, 2, 3):
