@@ -17,7 +17,7 @@ lost by either: any order that is the same for all records does, so the counts m
 of the digest, and every task holds the TABLE most frequent ones.
 
 What goes to disk: the text is read three times (counts, keys, texts of the classes that are in a pair), since its
-features are many times its size. A key is shuffled with its class and a signature only, 48 bits that the runs of three
+features are many times its size. A key is shuffled with its class and a signature only, 112 bits that the runs of three
 words set and the number of runs. Two sets of runs differ in at least as many runs as their signatures in bits, so most
 pairs that are not near are dropped where they meet, and no near one is. Copies of a question are one class in each
 task and at each key before any join.
@@ -48,8 +48,8 @@ HOT = 8
 TABLE = 2_000_000
 #: Classes in a pair up to which each task holds them when their texts are read; with more they are joined.
 WANTED = 4_000_000
-#: Bits of a signature; above them stands the number of runs.
-BITS = 48
+#: Bits of a signature's first number, above which stands the number of runs, and of its second one.
+BITS, MORE = 48, 64
 
 
 def partition_of(col: Column) -> Column:
@@ -110,14 +110,17 @@ def _run_sets(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _different(h.view(np.int64), np.repeat(np.arange(len(at) - 1), np.diff(to)))
 
 
-def signatures(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of every text the bits that its runs of words set, and above them their number."""
+def signatures(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every text the bits that its runs of words set, in two numbers, with the number of runs above the first's."""
     h, owner = _run_sets(words, at)
     if not len(h):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     n = np.bincount(owner)  # every text has a run
-    sets = np.bitwise_or.reduceat(np.int64(1) << (h.view(np.uint64) % np.uint64(BITS)).astype(np.int64), np.cumsum(n) - n)
-    return np.minimum(n, 32767) << BITS | sets
+    bit = h.view(np.uint64) % np.uint64(BITS + MORE)
+    one, low = np.uint64(1), bit < BITS
+    halves = (np.where(low, one << (bit % np.uint64(BITS)), np.uint64(0)), np.where(low, np.uint64(0), one << ((bit - np.uint64(BITS)) % np.uint64(MORE))))
+    first, second = (np.bitwise_or.reduceat(x, np.cumsum(n) - n).view(np.int64) for x in halves)
+    return np.minimum(n, 32767) << BITS | first, second
 
 
 def _rough(digest: np.ndarray) -> np.ndarray:
@@ -183,7 +186,7 @@ def join_keys(words: np.ndarray, of: np.ndarray, digest: np.ndarray, length: np.
 
 
 def _keys(src: DataFrame, held: Broadcast) -> DataFrame:
-    """(key, cls, sig), each once and all of a key in one partition."""
+    """(key, cls, sig, more), each once and all of a key in one partition."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = held.value
@@ -204,18 +207,19 @@ def _keys(src: DataFrame, held: Broadcast) -> DataFrame:
             bare = np.flatnonzero(size == 0)  # a question without words has no chunk
             key, row = np.concatenate([key, cls[bare]]), np.concatenate([row, bare])
             key, row = key[first[row]], row[first[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[row]), pa.array(signatures(words, at)[row])], names=["key", "cls", "sig"])
+            sig, more = signatures(words, at)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cls[row], sig[row], more[row])], names=["key", "cls", "sig", "more"])
 
-    return spread(src.select("q")).mapInArrow(keys, "key long, cls long, sig long").repartition("key").distinct()
+    return spread(src.select("q")).mapInArrow(keys, "key long, cls long, sig long, more long").repartition("key").distinct()
 
 
 def candidates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Written table of (a, b): training and evaluation classes that share a key and may reach the threshold."""
     held = rows.sparkSession.sparkContext.broadcast(frequencies(rows))
-    a = _keys(rows.where("part = 'training'"), held).withColumnsRenamed({"cls": "a", "sig": "sa"})
-    b = _keys(rows.where("part <> 'training'"), held).withColumnsRenamed({"cls": "b", "sig": "sb"})
+    a = _keys(rows.where("part = 'training'"), held).withColumnsRenamed({"cls": "a", "sig": "sa", "more": "ma"})
+    b = _keys(rows.where("part <> 'training'"), held).withColumnsRenamed({"cls": "b", "sig": "sb", "more": "mb"})
     # sets of x and y runs with overlap t differ in at most (1 - t) / (1 + t) * (x + y) runs
-    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")).bitwiseAND(F.lit((1 << BITS) - 1)))
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")).bitwiseAND(F.lit((1 << BITS) - 1))) + F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
     most = (1 - threshold) / (1 + threshold) * (F.shiftright("sa", BITS) + F.shiftright("sb", BITS)) + 1e-6
     return written(a.join(b, "key").where(apart <= most).select("a", "b").distinct())
 

@@ -293,9 +293,11 @@ def test_cross_pairs_beyond_what_tasks_hold(spark, monkeypatch, table, wanted):
 def test_signatures_differ_in_no_more_bits_than_the_sets():
     r = random.Random(3)
     t = ["", "x"] + [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 90))) for _ in range(200)]
-    s, sig = [runs_of(x) for x in t], crosssplit.signatures(*words.grid(t)).tolist()
-    assert [x >> crosssplit.BITS for x in sig] == [len(x) for x in s]
-    assert all(((x ^ y) & ((1 << crosssplit.BITS) - 1)).bit_count() <= len(p ^ q) for x, p in zip(sig, s) for y, q in zip(sig, s))
+    s, (sig, more) = [runs_of(x) for x in t], crosssplit.signatures(*words.grid(t))
+    assert [x >> crosssplit.BITS for x in sig.tolist()] == [len(x) for x in s]
+    bits = [(x & ((1 << crosssplit.BITS) - 1)) << 64 | y & ((1 << 64) - 1) for x, y in zip(sig.tolist(), more.tolist())]
+    assert all((x ^ y).bit_count() <= len(p ^ q) for x, p in zip(bits, s) for y, q in zip(bits, s))
+    assert max(x.bit_count() for x in bits) > 48
 
 
 def test_chunks_cover_the_text_and_move_with_it():
